@@ -7,12 +7,15 @@ collected per row, so the plan holds for any number of transactions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from voucherflow import schema
 from voucherflow.config import Rules
+from voucherflow.functions.literals import fixed_table
 from voucherflow.functions.parsing import flag
 
 ROUNDING = "ROUND_HALF_UP to 0.01 after summation"
@@ -111,99 +114,82 @@ def group_sums(f: DataFrame, rules: Rules = Rules()) -> DataFrame:
     return f.filter("in_base_currency").groupBy("group").agg(*aggs)
 
 
-def _tall(sums: DataFrame, items: list[Measure]) -> DataFrame:
-    """(name, n, have, amb, total) per figure; figures of absent groups stay, with zero rows."""
-    cells = []
-    for m in items:
-        slot = _slot(m)
-        hit = F.lit(True) if m.group is None else F.col("group") == m.group
-        count = lambda part: F.coalesce(F.sum(F.when(hit, F.col(f"{slot}__{part}"))), F.lit(0)).cast("bigint")
-        cells.append(F.struct(F.lit(m.name).alias("name"), count("n").alias("n"), count("have").alias("have"),
-                              count("amb").alias("amb"),
-                              cents(F.sum(F.when(hit, F.col(f"{slot}__sum")))).alias("total")).alias(m.name))
-    return sums.agg(*cells)
-
-
-def _status(cell: Column) -> Column:
-    return F.when(cell["n"] == 0, "NOT_APPLICABLE").when(cell["have"] == 0, "UNRESOLVED") \
-        .when((cell["have"] < cell["n"]) | (cell["amb"] > 0), "INCOMPLETE").otherwise("COMPLETE")
+def _figure_cells(sums: DataFrame, spark: SparkSession, items: list[Measure]) -> DataFrame:
+    """One row per figure: rows looked at, rows with a value, ambiguous rows and the sum; absent groups give zeros."""
+    slots = list(_distinct_sums(items))
+    tall = sums.select("group", F.explode(F.array(*[F.struct(
+        F.lit(s).alias("slot"), *[F.col(f"{s}__{part}").alias(part) for part in ("n", "have", "amb")],
+        F.col(f"{s}__sum").cast("decimal(38,10)").alias("total")) for s in slots])).alias("e")).select("group", "e.*")
+    spec = [(m.name, g, _slot(m)) for m in items for g in ([m.group] if m.group else [*schema.GROUPS, "other"])]
+    wanted = fixed_table(spark, "name group slot", spec)
+    return wanted.join(tall, ["group", "slot"], "left").groupBy("name").agg(
+        *[F.coalesce(F.sum(k), F.lit(0)).cast("bigint").alias(k) for k in ("n", "have", "amb")],
+        cents(F.sum("total")).alias("total"))
 
 
-def _value(cell: Column) -> Column:
-    return F.when(cell["n"] == 0, F.lit("0.00").cast(VALUE)).otherwise(cell["total"])
+def _combined(terms: list[tuple[int, Column]]) -> Column:
+    """struct(value, status, included, missing) of a signed combination of such structs."""
+    cells = [cell for _, cell in terms]
+    has = lambda status: reduce(lambda a, b: a | b, [cell["status"] == status for cell in cells])
+    status = F.when(reduce(lambda a, b: a & b, [cell["status"] == "NOT_APPLICABLE" for cell in cells]), "NOT_APPLICABLE") \
+        .when(has("UNRESOLVED"), "UNRESOLVED").when(has("INCOMPLETE"), "INCOMPLETE").otherwise("COMPLETE")
+    zero = F.lit(0).cast(VALUE)
+    total = reduce(lambda a, b: a + b, [F.coalesce(cell["value"], zero) * F.lit(sign) for sign, cell in terms])
+    add = lambda field: reduce(lambda a, b: a + b, [cell[field] for cell in cells])
+    return F.struct(F.when(status != "UNRESOLVED", cents(total)).alias("value"), status.alias("status"),
+                    add("included").alias("included"), add("missing").alias("missing"))
 
 
-def _entry(name, value, status, method, inputs, included, missing, notes, currency) -> Column:
-    return F.struct(
-        F.lit(name).alias("name"), value.cast("string").alias("value"), status.alias("status"),
-        F.lit(method).alias("method"), F.array(*[F.lit(i) for i in inputs]).alias("inputs_used"),
-        F.lit(currency).alias("currency"), F.lit(ROUNDING).alias("rounding"), included.alias("rows_included"),
-        missing.alias("rows_missing"), notes.alias("notes"))
-
-
-def combine_status(statuses: list[Column]) -> Column:
-    """Status of a signed combination of figures."""
-    every = lambda s: [st == s for st in statuses]
-    na, unresolved, incomplete = every("NOT_APPLICABLE"), every("UNRESOLVED"), every("INCOMPLETE")
-    both = lambda parts, op: parts[0] if len(parts) == 1 else both([op(parts[0], parts[1]), *parts[2:]], op)
-    return F.when(both(na, lambda a, b: a & b), "NOT_APPLICABLE") \
-        .when(both(unresolved, lambda a, b: a | b), "UNRESOLVED") \
-        .when(both(incomplete, lambda a, b: a | b), "INCOMPLETE").otherwise("COMPLETE")
+# The signed combinations.
+OUTPUT_TAX, ITC_LEFT, NET = "output_tax_after_credit_notes", "potential_itc_after_debit_notes", "potential_net_gst_liability"
+WITH_EVIDENCE, NO_EVIDENCE = "itc_tax_with_basic_evidence", "itc_tax_without_basic_evidence"
+LAST = (OUTPUT_TAX, WITH_EVIDENCE, NO_EVIDENCE, ITC_LEFT, NET, "zero_tax_value")
 
 
 def calculations(f: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The 43 accounting and tax figures, one row each."""
-    items = measures(rules)
-    wide = _tall(group_sums(f, rules), items)
-    figures: dict[str, dict] = {}
-    for m in items:
-        cell = F.col(m.name)
-        extra = F.array_compact(F.array(
-            *[F.lit(n) for n in m.notes],
-            F.when(cell["amb"] > 0, F.concat(cell["amb"].cast("string"),
-                                             F.lit(" included rows rely on an ambiguous voucher classification"))),
-            F.when(cell["have"] > schema.REFS_SHOWN,
-                   F.concat(F.lit(f"source_refs lists the first {schema.REFS_SHOWN} of "), cell["have"].cast("string"),
-                            F.lit(" rows")))))
-        figures[m.name] = {"value": _value(cell), "status": _status(cell), "included": cell["have"],
-                           "missing": cell["n"] - cell["have"], "method": m.method, "inputs": m.inputs, "notes": extra}
-
-    def combine(name: str, terms: list[tuple[int, str]], method: str, notes: list[str], tweak=None) -> None:
-        parts = [figures[t] for _, t in terms]
-        status = combine_status([p["status"] for p in parts])
-        zero = F.lit(0).cast(VALUE)
-        total = zero
-        for (sign, _), p in zip(terms, parts):
-            term = F.coalesce(p["value"], zero)
-            total = total + term if sign > 0 else total - term
-        note_col = F.array(*[F.lit(n) for n in notes]).cast("array<string>")
-        value = F.when(status != "UNRESOLVED", cents(total))
-        figures[name] = {"value": value, "status": status,
-                         "included": sum((p["included"] for p in parts[1:]), parts[0]["included"]),
-                         "missing": sum((p["missing"] for p in parts[1:]), parts[0]["missing"]),
-                         "method": method, "inputs": [t for _, t in terms], "notes": note_col}
-
-    combine("output_tax_after_credit_notes", [(1, "outward_total_tax"), (-1, "credit_notes_total_tax")],
-            "outward_total_tax - credit_notes_total_tax", [])
-    combine("potential_itc_after_debit_notes", [(1, "itc_tax_with_basic_evidence"), (-1, "debit_notes_total_tax")],
-            "itc_tax_with_basic_evidence - debit_notes_total_tax", [_ITC_NOTE])
-    combine("potential_net_gst_liability",
-            [(1, "output_tax_after_credit_notes"), (-1, "potential_itc_after_debit_notes")],
-            "output_tax_after_credit_notes - potential_itc_after_debit_notes", [_NET_NOTE])
-    net = figures["potential_net_gst_liability"]
-    left_out = F.col("itc_tax_without_basic_evidence")["n"]
-    lowered = (net["status"] == "COMPLETE") & (left_out > 0)
-    net["notes"] = F.when(lowered, F.array(F.lit(_NET_NOTE), F.concat(
-        left_out.cast("string"), F.lit(" inward rows with tax lack basic ITC evidence and are excluded.")))) \
-        .otherwise(net["notes"])
-    net["status"] = F.when(lowered, "INCOMPLETE").otherwise(net["status"])
-    last = ("output_tax_after_credit_notes", "itc_tax_with_basic_evidence", "itc_tax_without_basic_evidence",
-            "potential_itc_after_debit_notes", "potential_net_gst_liability", "zero_tax_value")
-    ordered = [n for n in figures if n not in last] + list(last)
-    entries = [_entry(n, v["value"], v["status"], v["method"], v["inputs"], v["included"], v["missing"], v["notes"],
-                      rules.base_currency) for n, v in ((n, figures[n]) for n in ordered)]
-    return wide.select(F.posexplode(F.array(*entries)).alias("position", "e")).select(
-        "position", "e.*", F.when(F.col("e.name").isin(*ACCOUNTING_NAMES), "accounting").otherwise("gst").alias("section"))
+    spark, items = f.sparkSession, measures(rules)
+    c = F.col
+    status = F.when(c("n") == 0, "NOT_APPLICABLE").when(c("have") == 0, "UNRESOLVED") \
+        .when((c("have") < c("n")) | (c("amb") > 0), "INCOMPLETE").otherwise("COMPLETE")
+    cell = F.struct(F.when(c("n") == 0, F.lit(0).cast(VALUE)).otherwise(c("total")).alias("value"), status.alias("status"),
+                    c("have").alias("included"), (c("n") - c("have")).alias("missing"))
+    extra = F.array_compact(F.array(
+        F.when(c("amb") > 0, F.concat(c("amb").cast("string"),
+                                      F.lit(" included rows rely on an ambiguous voucher classification"))),
+        F.when(c("have") > schema.REFS_SHOWN, F.concat(
+            F.lit(f"source_refs lists the first {schema.REFS_SHOWN} of "), c("have").cast("string"), F.lit(" rows")))))
+    plain = _figure_cells(group_sums(f, rules), spark, items).select("name", cell.alias("cell"), extra.alias("extra"))
+    # A fixed forty rows: fold them to one, add the three combinations, and unfold again.
+    one = plain.agg(F.collect_list(F.struct("name", "cell", "extra")).alias("cells"),
+                    F.map_from_entries(F.collect_list(F.struct("name", "cell"))).alias("by_name"))
+    at = lambda name: F.col("by_name")[name]
+    one = one.select("cells", "by_name",
+                     _combined([(1, at("outward_total_tax")), (-1, at("credit_notes_total_tax"))]).alias("output"),
+                     _combined([(1, at(WITH_EVIDENCE)), (-1, at("debit_notes_total_tax"))]).alias("itc"))
+    one = one.withColumn("net", _combined([(1, c("output")), (-1, c("itc"))]))
+    left_out = at(NO_EVIDENCE)["included"] + at(NO_EVIDENCE)["missing"]
+    lowered = (c("net.status") == "COMPLETE") & (left_out > 0)
+    net = F.struct(c("net.value").alias("value"), F.when(lowered, "INCOMPLETE").otherwise(c("net.status")).alias("status"),
+                   c("net.included").alias("included"), c("net.missing").alias("missing"))
+    none = F.array().cast("array<string>")
+    left_note = F.when(lowered, F.array(F.concat(
+        left_out.cast("string"), F.lit(" inward rows with tax lack basic ITC evidence and are excluded.")))).otherwise(none)
+    entry = lambda name, value, notes: F.struct(F.lit(name).alias("name"), value.alias("cell"), notes.alias("extra"))
+    combos = F.array(entry(OUTPUT_TAX, c("output"), none), entry(ITC_LEFT, c("itc"), none), entry(NET, net, left_note))
+    rows = one.select(F.explode(F.concat("cells", combos)).alias("e")).select("e.*")
+    names = [m.name for m in items if m.name not in LAST] + list(LAST)
+    wording = {m.name: (m.method, m.inputs, m.notes) for m in items} | {
+        OUTPUT_TAX: ("outward_total_tax - credit_notes_total_tax", ["outward_total_tax", "credit_notes_total_tax"], []),
+        ITC_LEFT: (f"{WITH_EVIDENCE} - debit_notes_total_tax", [WITH_EVIDENCE, "debit_notes_total_tax"], [_ITC_NOTE]),
+        NET: (f"{OUTPUT_TAX} - {ITC_LEFT}", [OUTPUT_TAX, ITC_LEFT], [_NET_NOTE])}
+    words = fixed_table(spark, "name position method inputs_used fixed_notes section", [
+        (n, i, *wording[n], "accounting" if n in ACCOUNTING_NAMES else "gst") for i, n in enumerate(names)])
+    return rows.join(F.broadcast(words), "name").select(
+        "position", "name", c("cell.value").cast("string").alias("value"), c("cell.status").alias("status"), "method",
+        "inputs_used", F.lit(rules.base_currency).alias("currency"), F.lit(ROUNDING).alias("rounding"),
+        c("cell.included").alias("rows_included"), c("cell.missing").alias("rows_missing"),
+        F.concat("fixed_notes", "extra").alias("notes"), "section")
 
 
 def calculation_refs(f: DataFrame, rules: Rules = Rules(), shown: int = schema.REFS_SHOWN) -> DataFrame:

@@ -17,12 +17,33 @@ _STRINGS = ("currency", "invoice_number", "supplier_gstin", "recipient_gstin", "
 
 
 def group_of(category: Column, rules: Rules = Rules()) -> Column:
-    """Accounting group of a category; the first group that lists it wins, anything else is 'other'."""
-    out = None
+    """Accounting group of a category; the first group that lists it wins, anything else is 'other'.
+
+    The lookup folds to one literal map, so it stays a single node wherever the optimizer inlines it.
+    """
+    first: dict[str, str] = {}
     for group, members in rules.groups().items():
-        test = category.isin(*members) if members else F.lit(False)
-        out = F.when(test, group) if out is None else out.when(test, group)
-    return out.otherwise("other")
+        for member in members:
+            first.setdefault(member, group)
+    if not first:
+        return F.lit("other")
+    pairs = [F.lit(text) for item in first.items() for text in item]
+    return F.coalesce(F.create_map(*pairs)[category], F.lit("other"))
+
+
+def own_series(category: Column, rules: Rules = Rules()) -> Column:
+    """Documents the business issues itself: it is the supplier on them."""
+    return flag(group_of(category, rules).isin(*schema.OWN_SERIES_GROUPS))
+
+
+def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that must be evaluated once per row.
+
+    A plain projection would be inlined into every filter above it; a one-element
+    generator is not, while filters on the other columns still pass below it.
+    """
+    made = F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+    return df.select("*", made)
 
 
 def complete_columns(tx: DataFrame) -> DataFrame:
@@ -62,8 +83,8 @@ def features(tx: DataFrame, rules: Rules = Rules(), business_gstin: str | None =
         if name not in tx.columns:
             tx = tx.withColumn(name, F.lit(None).cast(kind))
     business = F.lit((business_gstin or "").replace(" ", "").upper() or None).cast("string")
-    own = F.col("group").isin(*schema.OWN_SERIES_GROUPS)
     c = F.col
+    own = own_series(c("category"), rules)
     tax, present = row_tax({k: c(k) for k in schema.COMPONENTS}, c("total_tax"))
     base = tx.withColumn("group", group_of(c("category"), rules))
     rows = base.select(
@@ -82,9 +103,8 @@ def features(tx: DataFrame, rules: Rules = Rules(), business_gstin: str | None =
         .otherwise(F.coalesce(first_filled(c("supplier_name")), c("customer_name"))).alias("party_name"),
         "original_invoice_ref", "place_of_supply", "hsn_sac", "ledger", "opening_balance", "closing_balance",
         "debit", "credit")
-    rows = rows.withColumns({
-        f"{side}_gstin_status": gstin_status(c(f"{side}_gstin"), rules.verify_gstin_checksum)
-        for side in ("supplier", "recipient")})
+    rows = once(rows, {f"{side}_gstin_status": gstin_status(c(f"{side}_gstin"), rules.verify_gstin_checksum)
+                       for side in ("supplier", "recipient")})
     return rows.withColumn("has_itc_evidence", itc_evidence())
 
 

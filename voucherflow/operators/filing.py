@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voucherflow import schema
+from voucherflow.functions.literals import fixed_table
 from voucherflow.operators.accounting import cents
 
 # Sections and the fields each must have on every row.
@@ -52,7 +53,7 @@ def filing_sections(f: DataFrame) -> DataFrame:
     sums = rows.withColumn("rate_key", rate_key).withColumn("ready", ready).groupBy("section", "rate_key").agg(
         F.count(F.lit(1)).alias("n_rows"), cents(F.sum("taxable")).alias("taxable_value"),
         cents(F.sum("tax")).alias("tax"), F.bool_and("ready").alias("ready"))
-    names = f.sparkSession.createDataFrame([(n,) for n in REQUIRED], "section string")
+    names = fixed_table(f.sparkSession, "section", [(n,) for n in REQUIRED])
     # Seven fixed names on the left, aggregated rows on the right: empty sections stay visible.
     joined = names.join(sums, "section", "left").filter((c("section") != BY_RATE) | c("n_rows").isNotNull())
     return joined.select(

@@ -17,8 +17,10 @@ from pyspark.sql import Window as W
 from voucherflow import schema
 from voucherflow.config import Rules
 from voucherflow.functions.gstin import gstin_status
-from voucherflow.functions.parsing import any_of, flag
+from voucherflow.functions.literals import fixed_table
+from voucherflow.functions.parsing import flag
 from voucherflow.operators.accounting import cents, first_refs
+from voucherflow.operators.features import once
 
 # ---- Fixed values: severity order and the catalogue of findings. ----
 SEVERITY_RANK = {"HIGH": 0, "MEDIUM": 1, "LOW": 2, "INFO": 3}
@@ -133,8 +135,7 @@ def catalogue(spark: SparkSession, rules: Rules = Rules()) -> DataFrame:
     """The fixed 29-row wording table."""
     rows = [(i, f.code, f.severity, SEVERITY_RANK[f.severity], f.status,
              f.message.replace("{base}", rules.base_currency), f.action) for i, f in CATALOGUE.items()]
-    return spark.createDataFrame(
-        rows, "finding_id int, code string, severity string, severity_rank int, status string, message string, action string")
+    return fixed_table(spark, "finding_id code severity severity_rank status message action", rows)
 
 
 def implied_rate() -> Column:
@@ -149,49 +150,57 @@ def expected_tax() -> Column:
     return F.round(c("taxable").cast("decimal(20,4)") * c("rate").cast("decimal(9,4)") * F.lit("0.01").cast("decimal(3,2)"), 2)
 
 
+def check_inputs(f: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """Feature rows plus the terms several checks share, each evaluated once per row."""
+    c = F.col
+    pos = lambda name: flag(c(name) > 0)
+    invoice = c("group").isin(*schema.INVOICE_GROUPS)
+    shared = once(f, {
+        "k_doc": c("in_base_currency") & c("group").isin(*schema.TAX_GROUPS),
+        "k_invoice": c("in_base_currency") & invoice,
+        "k_tax": pos("tax"), "k_local": pos("cgst") | pos("sgst"), "k_igst": pos("igst"), "k_parts": c("n_components") > 0,
+        "k_states": (c("supplier_gstin_status") == "valid") & (c("recipient_gstin_status") == "valid")
+        & (c("n_components") > 0),
+        "k_inter": F.substring("supplier_gstin", 1, 2) != F.substring("recipient_gstin", 1, 2),
+        "k_expected": expected_tax(),
+        "k_implied": F.when(c("rate").isNull() & (c("taxable") > 0) & c("tax").isNotNull(), implied_rate()),
+    })
+    gap = F.least(*[F.abs(c("k_implied") - F.lit(r)) for r in rules.valid_rates])
+    return once(shared, {"k_near": gap <= F.lit(rules.rate_match_tolerance)})
+
+
 def checks(rules: Rules = Rules()) -> dict[int, Column]:
-    """Finding id -> predicate, for the checks that look at one row only."""
+    """Finding id -> predicate over `check_inputs` rows, for the checks that look at one row only."""
     c = F.col
     tol = F.lit(rules.tax_tolerance)
-    base = c("in_base_currency")
-    invoice = c("group").isin(*schema.INVOICE_GROUPS)
-    doc = base & (invoice | (c("group") == "expenses"))
-    pos = lambda name: flag(c(name) > 0)
-    absent = lambda name: F.coalesce(c(name), F.lit("")) == ""
-    cg, sg, ig, tax, taxable, rate = (c(n) for n in ("cgst", "sgst", "igst", "tax", "taxable", "rate"))
-    parts = c("n_components") > 0
-    sup_scope = doc & (c("group").isin("inward", "debit_notes") | ((c("group") == "expenses") & pos("tax")))
+    base, doc, invoice = c("in_base_currency"), c("k_doc"), c("k_invoice")
+    blank = lambda name: F.coalesce(c(name), F.lit("")) == ""
+    sup_scope = doc & (c("group").isin("inward", "debit_notes") | ((c("group") == "expenses") & c("k_tax")))
     rec_scope = doc & c("group").isin("outward", "credit_notes") & (c("category") != "Export")
-    both_valid = (c("supplier_gstin_status") == "valid") & (c("recipient_gstin_status") == "valid")
-    inter = F.substring("supplier_gstin", 1, 2) != F.substring("recipient_gstin", 1, 2)
-    local_tax = pos("cgst") | pos("sgst")
-    slabs = [F.lit(r) for r in rules.valid_rates]
-    near = any_of([F.abs(implied_rate() - s) <= F.lit(rules.rate_match_tolerance) for s in slabs])
-    unrated = doc & taxable.isNotNull() & tax.isNotNull() & rate.isNull() & (taxable > 0)
     return {
         2: ~base,
         3: base & c("ambiguous"),
-        4: base & (c("group") == "other") & (pos("tax") | parts),
-        5: doc & invoice & absent("invoice_number"),
-        6: doc & invoice & c("invoice_date").isNull(),
+        4: base & (c("group") == "other") & (c("k_tax") | c("k_parts")),
+        5: invoice & blank("invoice_number"),
+        6: invoice & c("invoice_date").isNull(),
         7: sup_scope & (c("supplier_gstin_status") == "missing"),
         8: sup_scope & ~c("supplier_gstin_status").isin("missing", "valid"),
         9: rec_scope & (c("recipient_gstin_status") == "missing"),
         10: rec_scope & ~c("recipient_gstin_status").isin("missing", "valid"),
-        11: doc & invoice & taxable.isNull() & tax.isNull(),
-        12: doc & (F.abs(cg - sg) > tol),
-        13: doc & pos("igst") & local_tax,
-        14: doc & parts & (F.abs(tax - c("reported_total_tax")) > tol),
-        15: doc & both_valid & parts & inter & local_tax,
-        16: doc & both_valid & parts & ~inter & pos("igst"),
-        17: doc & rate.isNotNull() & ~rate.isin(*rules.valid_rates),
-        18: doc & (F.abs(expected_tax() - tax) > tol),
-        19: unrated & near,
-        20: unrated & ~near,
-        21: doc & pos("tax") & taxable.isNull(),
-        22: doc & (F.abs(F.round(taxable + tax, 2) - c("total_amount")) > tol),
-        23: doc & c("group").isin("credit_notes", "debit_notes") & absent("original_invoice_ref"),
-        24: doc & c("category").isin(*rules.itc_categories) & pos("tax") & ~c("has_itc_evidence"),
+        11: invoice & c("taxable").isNull() & c("tax").isNull(),
+        12: doc & (F.abs(c("cgst") - c("sgst")) > tol),
+        13: doc & c("k_igst") & c("k_local"),
+        14: doc & c("k_parts") & (F.abs(c("tax") - c("reported_total_tax")) > tol),
+        15: doc & c("k_states") & c("k_inter") & c("k_local"),
+        16: doc & c("k_states") & ~c("k_inter") & c("k_igst"),
+        17: doc & ~c("rate").isin(*rules.valid_rates),
+        18: doc & (F.abs(c("k_expected") - c("tax")) > tol),
+        19: doc & c("k_near"),
+        20: doc & ~c("k_near"),
+        21: doc & c("k_tax") & c("taxable").isNull(),
+        22: doc & (F.abs(F.round(c("taxable") + c("tax"), 2) - c("total_amount")) > tol),
+        23: doc & c("group").isin("credit_notes", "debit_notes") & blank("original_invoice_ref"),
+        24: doc & c("category").isin(*rules.itc_categories) & c("k_tax") & ~c("has_itc_evidence"),
     }
 
 
@@ -208,9 +217,9 @@ def _evidence() -> Column:
         .when(at(15, 16), value(supplier_state=F.substring("supplier_gstin", 1, 2),
                                 recipient_state=F.substring("recipient_gstin", 1, 2))) \
         .when(at(17), text("rate")) \
-        .when(at(18), value(taxable_value=c("taxable"), rate=c("rate"), expected_tax=expected_tax(),
+        .when(at(18), value(taxable_value=c("taxable"), rate=c("rate"), expected_tax=c("k_expected"),
                             reported_tax=cents(c("tax")))) \
-        .when(at(19, 20), value(implied_rate_percent=implied_rate())) \
+        .when(at(19, 20), value(implied_rate_percent=c("k_implied"))) \
         .when(at(22), value(taxable_plus_tax=cents(c("taxable") + c("tax")), invoice_total=c("total_amount")))
 
 
@@ -218,6 +227,7 @@ def row_checks(f: DataFrame, rules: Rules = Rules(), with_evidence: bool = False
     """ord, source_ref, finding_id for every row-local finding: no shuffle, safe on a stream."""
     tests = checks(rules)
     ids = F.array(*[F.when(test, F.lit(i)) for i, test in tests.items()])
+    f = check_inputs(f, rules)
     if with_evidence:
         out = f.withColumn("finding_id", F.explode(ids)).filter("finding_id IS NOT NULL")
         return out.select("ord", "source_ref", "finding_id", F.lit("").alias("key"), _evidence().alias("evidence"))
@@ -364,7 +374,7 @@ def _needs(f: DataFrame, rules: Rules) -> DataFrame:
                "taxable_value/supply": tests[11], "gst_rate": tests[19] | tests[20],
                "taxable_value/arithmetic": tests[21], "original_invoice_ref": tests[23]}
     names = F.array(*[F.when(test, name) for name, test in by_need.items()])
-    rows = f.select("ord", "source_ref", F.explode(names).alias("need")).filter("need IS NOT NULL")
+    rows = check_inputs(f, rules).select("ord", "source_ref", F.explode(names).alias("need")).filter("need IS NOT NULL")
     why = None
     for name, reason in NEEDS.items():
         why = F.when(F.col("need") == name, reason) if why is None else why.when(F.col("need") == name, reason)

@@ -343,7 +343,7 @@ cte("found", ("features", "dup_number", "dup_document"), " UNION ALL ".join(
 
 def _one_check(finding_id):
     def run(spark, sf):
-        f = feats(spark, sf)
+        f = V.check_inputs(feats(spark, sf), RULES)
         return f.filter(V.checks(RULES)[finding_id]).select("source_ref", F.lit(_CODE_BY_ID[finding_id]).alias("code"))
     return run
 
@@ -369,7 +369,7 @@ SELECT source_ref, 'TAX_TYPE_STATE_MISMATCH' AS code, CASE WHEN {SQL_CHECKS[15]}
 FROM features WHERE ({SQL_CHECKS[15]}) OR ({SQL_CHECKS[16]})"""))
 def val_15(spark, sf):
     tests = V.checks(RULES)
-    return feats(spark, sf).filter(tests[15] | tests[16]).select(
+    return V.check_inputs(feats(spark, sf), RULES).filter(tests[15] | tests[16]).select(
         "source_ref", F.lit("TAX_TYPE_STATE_MISMATCH").alias("code"), F.when(tests[15], "inter").otherwise("intra").alias("kind"))
 
 
