@@ -245,37 +245,44 @@ def first_match(df: DataFrame, out: str = "first_match", mode: str = "all") -> D
     return once(df, {out: first_category(rule_bits(masked_bits(mode)))})
 
 
-def describe_evidence(df: DataFrame) -> Column:
-    """'Category [rule, basis: field=value, …]' for every satisfied clause, '; ' between them."""
-    value = field_columns(df)
-    parts = []
-    for c in CLAUSES:
-        pairs = F.concat_ws(", ", *[F.when(value[f] != "", F.concat(F.lit(f"{f}="), value[f])) for f in c.fields()])
-        parts.append(F.when(has_any(F.col("clause_bits"), 1 << c.bit),
-                            F.concat(F.lit(f"{c.category} [{c.rule}, {c.basis}: "), pairs, F.lit("]"))))
-    return F.concat_ws("; ", *parts)
+def with_descriptions(df: DataFrame) -> DataFrame:
+    """Add `evidence_text`: 'Category [rule, basis: field=value, …]' for every satisfied clause, '; ' between them.
+
+    Built a few clauses at a time so that each step compiles to a method of its own.
+    """
+    clean = {f"v{i}": c for i, c in enumerate(field_columns(df).values())}
+    value = {n: F.col(f"__v.v{i}") for i, n in enumerate(USED_FIELDS)}
+    out = once(df, {"__v": F.struct(*[c.alias(n) for n, c in clean.items()])})
+    names = []
+    for start in range(0, len(CLAUSES), 8):
+        parts = []
+        for c in CLAUSES[start:start + 8]:
+            pairs = F.concat_ws(", ", *[F.when(value[f] != "", F.concat(F.lit(f"{f}="), value[f])) for f in c.fields()])
+            parts.append(F.when(has_any(F.col("clause_bits"), 1 << c.bit),
+                                F.concat(F.lit(f"{c.category} [{c.rule}, {c.basis}: "), pairs, F.lit("]"))))
+        names.append(f"__t{start}")
+        out = once(out, {names[-1]: F.nullif(F.concat_ws("; ", *parts), F.lit(""))})
+    shown = {f"__f{i}": F.concat_ws(", ", *[F.when(value[f] != "", f) for f in fields])
+             for i, (_, fields, _) in enumerate(FAMILIES)}
+    return once(out, {"evidence_text": F.concat_ws("; ", *names), **shown}).drop("__v", *names)
 
 
 def explain(df: DataFrame) -> DataFrame:
     """Sentence behind each decision."""
     c = F.col
-    df = df.withColumn("evidence_text", describe_evidence(df))
-    value = field_columns(df)
+    df = with_descriptions(df)
     out = F.when(F.bit_count("rule_bits") > 1, F.concat(
         F.lit("Conflicting evidence for "), category_names(c("rule_bits"), " vs "), F.lit(": "), c("evidence_text")))
-    for name, names, members in FAMILIES:
-        shown = F.concat_ws(", ", *[F.when(value[f] != "", f) for f in names])
-        here = c("undirected") == name
+    for i, (name, _, members) in enumerate(FAMILIES):
+        here, opening = c("undirected") == name, F.concat(F.lit(f"{name} details ("), c(f"__f{i}"))
         out = out.when(here & (c("rule_bits") != 0), F.concat(
-            F.lit(f"{name} details ("), shown, F.lit(") contradict "), category_names(c("rule_bits")),
-            F.lit(" evidence: "), c("evidence_text")))
-        out = out.when(here, F.concat(F.lit(f"{name} details ("), shown,
-                                      F.lit(") without direction evidence: " + " or ".join(members))))
+            opening, F.lit(") contradict "), category_names(c("rule_bits")), F.lit(" evidence: "), c("evidence_text")))
+        out = out.when(here, F.concat(opening, F.lit(") without direction evidence: " + " or ".join(members))))
     out = out.when(c("rule_status") == NO_RULE, "No rule evidence") \
         .when(c("rule_status") == AMBIGUOUS, F.concat(
             F.lit("Identifier prefix only, no supporting transaction fields: "), c("evidence_text"))) \
         .otherwise(F.concat(F.lit("Consistent evidence for "), c("evidence_text")))
-    return df.withColumn("explanation", out)
+    return once(df, {"explanation": out}).drop("__f0", "__f1")
 
 
 def evidence_rows(df: DataFrame, key: str) -> DataFrame:

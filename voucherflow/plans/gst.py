@@ -358,8 +358,9 @@ FROM (SELECT {gstin_status_sql("upper(replace(party_gstin, ' ', ''))")} AS gstin
 WHERE gstin_status <> 'valid' GROUP BY ALL"""))
 def val_01(spark, sf):
     """The business-GSTIN check applied to every supplied number of the table."""
-    rows = T.books(spark, sf).filter("party_gstin IS NOT NULL").select(
-        gstin_status(F.upper(F.regexp_replace("party_gstin", " ", ""))).alias("detail"))
+    given = T.books(spark, sf).filter("party_gstin IS NOT NULL").select(
+        F.upper(F.regexp_replace("party_gstin", " ", "")).alias("gstin"))
+    rows = FE.once(FE.once(given, {"g": F.col("gstin")}), {"detail": gstin_status(F.col("g"))})
     return rows.filter("detail <> 'valid'").groupBy(F.lit("BUSINESS_GSTIN_INVALID").alias("code"), "detail") \
         .agg(F.count(F.lit(1)).alias("n_rows"))
 
