@@ -71,11 +71,19 @@ def word_ngrams(tokens: Column, lo: int = 1, hi: int = 2) -> Column:
     for n in range(lo, hi + 1):
         span = F.greatest(F.size(tokens) - F.lit(n - 1), F.lit(0))
         grams.append(F.when(span > 0, F.transform(
-            F.sequence(F.lit(1), F.greatest(span, F.lit(1))),
-            lambda i, n=n: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>")))
+            F.sequence(F.lit(1), F.greatest(span, F.lit(1))), _run_of(tokens, n))).otherwise(F.array().cast("array<string>")))
     return F.concat(*grams)
 
 
+# A lambda given to F.transform must take exactly the element, so sizes are bound by closures.
+def _run_of(tokens: Column, n: int):
+    return lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " ")
+
+
+def _piece_of(text: Column, n: int):
+    return lambda i: F.substring(text, i, F.lit(n))
+
+
 def padded_char_ngrams(word: Column, lo: int = 3, hi: int = 5) -> Column:
     """Character n-grams of one word padded with a blank on each side.
 
@@ -87,7 +95,7 @@ def padded_char_ngrams(word: Column, lo: int = 3, hi: int = 5) -> Column:
     for n in range(lo, hi + 1):
         whole = F.array(padded) if n == lo else F.array().cast("array<string>")
         parts.append(F.when(size > n, F.transform(
-            F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i, n=n: F.substring(padded, i, F.lit(n))))
+            F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), _piece_of(padded, n)))
             .when(size == n, F.array(padded) if n > lo else whole).otherwise(whole))
     return F.concat(*parts)
 

@@ -161,19 +161,23 @@ def clause_test(clause: Clause, value: dict[str, Column]) -> Column:
     return all_of(tests)
 
 
-def with_evidence(df: DataFrame) -> DataFrame:
-    """Add `clause_bits` (one bit per satisfied clause) and `family_bits` (families whose details are present)."""
-    clean = {f"v{i}": c for i, c in enumerate(field_columns(df).values())}
+def with_evidence(df: DataFrame, prefix: str = "", change: dict[str, Column] | None = None) -> DataFrame:
+    """Add `clause_bits` (one bit per satisfied clause) and `family_bits` (families whose details are present).
+
+    `change` replaces the cleaned value of some fields, so several treatments of the
+    same row can be judged side by side under different prefixes.
+    """
+    values = {**field_columns(df), **(change or {})}
     value = {n: F.col(f"__v.v{i}") for i, n in enumerate(USED_FIELDS)}
-    cleaned = once(df, {"__v": F.struct(*[c.alias(n) for n, c in clean.items()])})
-    bits = [F.when(clause_test(c, value), F.lit(1 << c.bit).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
-            for c in CLAUSES]
+    cleaned = once(df, {"__v": F.struct(*[values[n].alias(f"v{i}") for i, n in enumerate(USED_FIELDS)])})
+    none = F.lit(0).cast("bigint")
+    bits = [F.when(clause_test(c, value), F.lit(1 << c.bit).cast("bigint")).otherwise(none) for c in CLAUSES]
     guarded = clause_test(CLAUSES[1], value) & all_of([value[f] == "" for f in FIRST_MATCH_GUARD])
-    bits.append(F.when(guarded, F.lit(1 << GUARDED_BIT).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
+    bits.append(F.when(guarded, F.lit(1 << GUARDED_BIT).cast("bigint")).otherwise(none))
     families = [F.when(any_of([value[f] != "" for f in names]), 1 << i).otherwise(0)
                 for i, (_, names, _) in enumerate(FAMILIES)]
     add = lambda parts: reduce(lambda a, b: a + b, parts)
-    return once(cleaned, {"clause_bits": add(bits), "family_bits": add(families)}).drop("__v")
+    return once(cleaned, {f"{prefix}clause_bits": add(bits), f"{prefix}family_bits": add(families)}).drop("__v")
 
 
 def has_any(bits: Column, mask: int) -> Column:
@@ -194,7 +198,7 @@ def category_names(bits: Column, separator: str = " | ") -> Column:
 
 def first_category(bits: Column) -> Column:
     """Category of the lowest set bit of a rule mask."""
-    return F.nullif(F.element_at(F.split(category_names(bits, "|"), r"\|"), 1), F.lit(""))
+    return F.coalesce(*[F.when(bits.bitwiseAND(F.lit(1 << i)) != 0, CATEGORY[r]) for i, r in enumerate(RULE_IDS)])
 
 
 def decide(df: DataFrame) -> DataFrame:
@@ -227,22 +231,23 @@ def with_model_fallback(df: DataFrame, model: str = "model_prediction") -> DataF
     return df.withColumn("prediction", F.coalesce("rule_category", F.nullif(F.col(model), F.lit("")), F.lit(UNCLASSIFIED)))
 
 
-def masked_bits(mode: str = "all", guarded: bool = True) -> Column:
+def masked_bits(mode: str = "all", guarded: bool = True, prefix: str = "") -> Column:
     """Clause bits of the first-match engine with the mode's prefix clauses switched off."""
     off = MODES[mode]
-    bits = F.col("clause_bits").bitwiseAND(F.lit(ALL_MASK & ~off).cast("bigint"))
+    held = F.col(f"{prefix}clause_bits")
+    bits = held.bitwiseAND(F.lit(ALL_MASK & ~off).cast("bigint"))
     if guarded:
         plain = F.lit(~(1 << 1) & ALL_MASK).cast("bigint")
-        again = F.when(has_any(F.col("clause_bits"), 1 << GUARDED_BIT), F.lit(2).cast("bigint")) \
+        again = F.when(has_any(held, 1 << GUARDED_BIT), F.lit(2).cast("bigint")) \
             .otherwise(F.lit(0).cast("bigint"))
         bits = bits.bitwiseAND(plain).bitwiseOR(again)
     return bits
 
 
-def first_match(df: DataFrame, out: str = "first_match", mode: str = "all") -> DataFrame:
+def first_match(df: DataFrame, out: str = "first_match", mode: str = "all", prefix: str = "") -> DataFrame:
     """Category of the first rule in table order that holds (null when none does)."""
-    df = df if "clause_bits" in df.columns else with_evidence(df)
-    return once(df, {out: first_category(rule_bits(masked_bits(mode)))})
+    df = df if f"{prefix}clause_bits" in df.columns else with_evidence(df, prefix)
+    return once(once(df, {"__r": rule_bits(masked_bits(mode, prefix=prefix))}), {out: first_category(F.col("__r"))}).drop("__r")
 
 
 def with_descriptions(df: DataFrame) -> DataFrame:
