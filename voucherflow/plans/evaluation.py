@@ -10,6 +10,7 @@ from voucherflow.functions.text import narration_core, neutral_identifier
 from voucherflow.operators import adjudication as J
 from voucherflow.operators import audit as Q
 from voucherflow.operators import contract as CO
+from voucherflow.operators import edits as ED
 from voucherflow.operators import metrics as M
 from voucherflow.operators import rules as R
 from voucherflow.plans import classification as CL
@@ -577,6 +578,33 @@ def rule_trace(df):
     return rows.withColumn("needs_prefix", F.when(F.col("rule_id").isNull(), "n/a").when(alone, "No").otherwise("Yes"))
 
 
+_DIGITS = "array_to_string(regexp_extract_all({0}, '\\d+'), '')"
+
+
+def _edit_sql(case, field, how):
+    if how == "-":
+        return "NULL"
+    if how == "~":
+        return NR.neutral_sql(f"coalesce(\"{field}\", '')")
+    if how.startswith("#"):
+        return f"{lit(how[1:])} || " + _DIGITS.format(f'"{case.id_column}"')
+    return lit(how)
+
+
+def _edited_cte():
+    new = {}
+    for case in ED.cases():
+        for field, how in case.edits:
+            if field in WIDE_COLUMNS:
+                new.setdefault(field, []).append(f"WHEN case_id = '{case.name}' THEN {_edit_sql(case, field, how)}")
+    cells = ", ".join((f'CASE {" ".join(new[c])} ELSE "{c}" END' if c in new else f'"{c}"') + f' AS "{c}"' for c in WIDE_COLUMNS)
+    fits = ", ".join(f"CASE WHEN starts_with({CL.field_sql(c.id_column)}, {lit(c.prefix)}) THEN '{c.name}' END" for c in ED.cases())
+    return f'SELECT ord, source_ref, case_id, {cells}, "{schema.LABEL_COLUMN}" FROM (SELECT *, unnest([{fits}]) AS case_id FROM wide) WHERE case_id IS NOT NULL'
+
+
+cte("edited", ("wide",), _edited_cte())
+cte("clean_edited", ("edited",), f'SELECT ord, source_ref, case_id, "{schema.LABEL_COLUMN}" AS label, {CL._fields_select()} FROM edited')
+cte("evidence_edited", ("clean_edited",), CTES["evidence"][1].replace("FROM wide_clean", "FROM clean_edited"))
 _G = lambda c: f"c{R.GUARDED_BIT if c.bit == 1 else c.bit}"
 _RID = "CASE " + " ".join(f"WHEN {' OR '.join(_G(c) for c in R.CLAUSES if c.rule == r)} THEN '{r}'" for r in R.RULE_IDS) + " END"
 _KINDS = "concat_ws(' | ', " + ", ".join(f"CASE WHEN {_G(c)} AND rule_id = '{c.rule}' THEN '{c.kind}' END" for c in R.CLAUSES) + ")"
@@ -585,6 +613,21 @@ _ALONE = " OR ".join(f"({_G(c)} AND rule_id = '{c.rule}')" for c in R.CLAUSES if
 cte("traced", ("trace",), f"SELECT ord, label, rule_id, {_KINDS} AS clause_kinds, {_MATCHED} AS rules_matched, CASE WHEN rule_id IS NULL THEN 'n/a' WHEN {_ALONE} THEN 'No' ELSE 'Yes' END AS needs_prefix, cats[1] AS rule_prediction FROM (SELECT *, {_RID} AS rule_id FROM trace)")
 
 
+cte("traced_edited", ("evidence_edited",), f"SELECT ord, case_id, rule_id, replace({_KINDS}, ' | ', ' / ') AS kinds, cats[1] AS pred, coalesce(cats[1], {category_sql('ord + CASE WHEN ord % 9 = 0 THEN 1 ELSE 0 END')}) AS final, "
+    f"CASE case_id {' '.join(f'WHEN {lit(c.name)} THEN {lit(c.expectation)}' for c in ED.cases())} END AS expected FROM (SELECT *, {_RID} AS rule_id, {CL._cats_sql(guarded=True)} AS cats FROM evidence_edited)")
+
+
+@query("qa_11", with_("traced_edited", """
+SELECT ord, case_id, rule_id, CASE WHEN rule_id IS NULL AND regexp_matches(expected, '^(AMBIGUOUS|CONFLICT)') THEN 'No rule fired; model decided (' || final || ') without a review flag'
+ WHEN rule_id IS NULL THEN 'No rule fired despite remaining evidence; model decided (' || final || ')' WHEN expected = 'AMBIGUOUS' THEN 'Rule resolved an ambiguous record via ' || kinds
+ WHEN expected = 'CONFLICT' THEN 'Conflict not detected; rule chose ' || pred || ' via ' || kinds
+ WHEN starts_with(expected, 'CONFLICT (') THEN CASE WHEN expected = 'CONFLICT (fields: ' || pred || ')' THEN 'Followed field evidence (' || kinds || '); conflict not flagged' ELSE 'Followed identifier prefix against field evidence (' || kinds || ')' END
+ WHEN pred = expected THEN CASE WHEN contains(kinds, 'prefix') THEN 'Correct, via ' || kinds ELSE 'Correct, via remaining field evidence' END ELSE 'Contradicted remaining evidence via ' || kinds END AS verdict FROM traced_edited"""))
+def qa_11(spark, sf):
+    traced = rule_trace(ED.edited_rows(wide_vouchers(spark, sf)))
+    return ED.assess(traced, T.category_at(F.col("ord") + F.when(F.col("ord") % 9 == 0, 1).otherwise(0))).select("ord", "case_id", "rule_id", "verdict")
+
+
 @query("qa_12", with_("traced", "SELECT ord, rule_id, clause_kinds, rules_matched, needs_prefix, rule_prediction = label AS correct FROM traced"))
 def qa_12(spark, sf):
     return rule_trace(wide_vouchers(spark, sf)).select("ord", "rule_id", "clause_kinds", "rules_matched", "needs_prefix",

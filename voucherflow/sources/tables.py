@@ -45,7 +45,12 @@ def gstin_for(k: Column, custkey: Column) -> Column:
 
 def books(spark: SparkSession, folder: str) -> DataFrame:
     """Canonical accounting rows, one per order, with a category and seeded defects."""
-    o = table(spark, folder, "orders").select(
+    return books_from(table(spark, folder, "orders"))
+
+
+def books_from(orders: DataFrame) -> DataFrame:
+    """The same rows from any orders table, batch or stream."""
+    o = orders.select(
         F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"), dec("o_totalprice").alias("amt"),
         F.col("o_orderdate").cast("date").alias("d"))
     k, amt = F.col("k"), F.col("amt")
