@@ -211,7 +211,7 @@ _STATUS = ("Prepaid", "Paid", "received in advance", "Due")
 
 def canonical_rows(spark, sf):
     """Canonical text rows from orders, with words the correction rules react to."""
-    o = T.table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("cust"))
+    o = T.spread(T.table(spark, sf, "orders")).select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("cust"))
     k = F.col("k")
     return o.select(
         k.alias("ord"), T.pick(k % 8, _DOC_TYPES).alias("document_type"), T.pick(k % 7, _ITEMS).alias("item_description"),

@@ -95,7 +95,7 @@ SELECT key, term, count(*) AS tf FROM (SELECT key, unnest(list_concat(ws, list_t
 
 @query("ml_06", with_("word_tf", "").rstrip() + _tfidf_sql("word_tf"))
 def ml_06(spark, sf):
-    d = T.table(spark, sf, "documents").select(F.col("doc_id").alias("key"), "text")
+    d = T.spread(T.table(spark, sf, "documents")).select(F.col("doc_id").alias("key"), "text")
     out = CO.tfidf(CO.word_counts(d, "key", "text"), "key")
     return out.select("key", "term", F.round("weight", 9).alias("weight"))
 
@@ -237,7 +237,7 @@ def ml_26(spark, sf):
 def review_cases(spark, sf):
     """Two reviewers per order: they agree, disagree or abstain by key."""
     k = F.col("k")
-    o = T.table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("note"))
+    o = T.spread(T.table(spark, sf, "orders")).select(F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("note"))
     synthetic = T.category_at(k)
     r1 = F.when(k % 35 == 0, J.ABSTAINED).when(k % 7 == 0, "Rejection In").otherwise(synthetic)
     r2 = F.when(k % 35 == 0, J.ABSTAINED).when(k % 11 == 0, J.ABSTAINED).when(k % 14 == 0, "Rejection Out").when(k % 5 == 0, T.category_at(k + 1)).otherwise(synthetic)

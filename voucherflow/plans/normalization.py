@@ -239,7 +239,7 @@ def nrm_15(spark, sf):
 
 def training_rows(spark, sf):
     """Canonical training rows: text from documents and parts, figures from orders."""
-    o = T.table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("cust"),
+    o = T.spread(T.table(spark, sf, "orders")).select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("cust"),
                                             F.col("o_totalprice").cast("decimal(18,2)").cast("double").alias("amt"),
                                             F.col("o_orderdate").cast("date").alias("d"))
     p = T.table(spark, sf, "part").select(F.col("p_partkey").alias("pk"), "p_name")

@@ -11,6 +11,7 @@ from voucherflow.plans import gst  # noqa: F401  (registers the tables the SQL b
 from voucherflow.plans.ctes import with_
 from voucherflow.plans.registry import query
 from voucherflow.session import ensure_checkpoint_dir
+from voucherflow.sources import sinks
 from voucherflow.sources import tables as T
 from voucherflow.streaming import jobs
 
@@ -54,3 +55,16 @@ def str_03(spark, sf):
     seen = spark.read.schema("`group` string, party string, number string, n bigint, batch_id bigint").option("basePath", f"{base}/out").parquet(f"{base}/out")
     return seen.groupBy(F.col("group").alias("grp"), "party", "number").agg(F.max_by("n", "batch_id").alias("n"))
 
+
+
+@query("snk_02", with_("books", "SELECT category, count(*) AS n_rows, true AS second_write_refused FROM books GROUP BY 1"))
+def snk_02(spark, sf):
+    """Results go to a fresh run folder; writing the same target again is refused before anything is written."""
+    rows = T.books(spark, sf).groupBy("category").agg(F.count(F.lit(1)).alias("n_rows"))
+    target = sinks.write_once(rows, sinks.run_folder(ensure_checkpoint_dir(spark), "categories"))
+    try:
+        sinks.refuse_existing(spark, [target])
+        refused = False
+    except FileExistsError:
+        refused = True
+    return spark.read.parquet(target).withColumn("second_write_refused", F.lit(refused))

@@ -15,6 +15,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Generated methods past 8000 bytes are never compiled by the JVM; plain projections split theirs.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

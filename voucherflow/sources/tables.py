@@ -6,12 +6,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voucherflow.functions.gstin import check_digit
+from voucherflow.operators.features import once
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a small input one partition per core; inputs with enough splits pass untouched, unshuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def dec(c: Column | str, precision: int = 18, scale: int = 2) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast(f"decimal({precision},{scale})")
 
@@ -33,19 +40,19 @@ def category_at(k: Column) -> Column:
     return pick(k % 20, CATEGORY_BY_SLOT)
 
 
-def gstin_for(k: Column, custkey: Column) -> Column:
-    """A party GSTIN with known defects: missing, bad format, bad check digit."""
-    stem = F.concat(F.when(k % 5 == 0, "29").otherwise("27"), F.lit("AAACB"),
-                    F.lpad((custkey % 10000).cast("string"), 4, "0"), F.lit("C1Z"))
-    right = check_digit(stem)
-    wrong = F.when(right == "0", "1").otherwise("0")
-    tail = F.when(k % 19 == 0, "!").when(k % 67 == 0, wrong).otherwise(right)
-    return F.when(k % 17 != 0, F.concat(stem, tail))
+def with_party_gstin(df: DataFrame, k: Column, custkey: Column) -> DataFrame:
+    """Add `party_gstin` with known defects: missing, bad format, bad check digit."""
+    df = once(df, {"stem": F.concat(F.when(k % 5 == 0, "29").otherwise("27"), F.lit("AAACB"),
+                                    F.lpad((custkey % 10000).cast("string"), 4, "0"), F.lit("C1Z"))})
+    df = once(df, {"digit": check_digit(F.col("stem"))})
+    wrong = F.when(F.col("digit") == "0", "1").otherwise("0")
+    tail = F.when(k % 19 == 0, "!").when(k % 67 == 0, wrong).otherwise(F.col("digit"))
+    return df.withColumn("party_gstin", F.when(k % 17 != 0, F.concat("stem", tail))).drop("stem", "digit")
 
 
 def books(spark: SparkSession, folder: str) -> DataFrame:
     """Canonical accounting rows, one per order, with a category and seeded defects."""
-    return books_from(table(spark, folder, "orders"))
+    return books_from(spread(table(spark, folder, "orders")))
 
 
 def books_from(orders: DataFrame) -> DataFrame:
@@ -63,7 +70,7 @@ def books_from(orders: DataFrame) -> DataFrame:
     own = F.col("category").isin("Sales", "Export", "Sales Return / Credit Note")
     cash = F.col("category").isin("Receipt", "Payment")
     five, fifty, nine, ten = (F.lit(n).cast("decimal(5,2)") for n in (5, 50, 9, 10))
-    out = o.withColumn("category", category_at(k))
+    out = with_party_gstin(o.withColumn("category", category_at(k)), k, F.col("c"))
     rate = F.when(k % 13 != 0, F.col("r0"))
     total = F.when(k % 47 == 0, amt + t + fifty).otherwise(amt + t)
     ledger_row = k % 19 == 0
@@ -93,7 +100,7 @@ def books_from(orders: DataFrame) -> DataFrame:
         F.when(k % 61 != 0, F.col("d")).alias("invoice_date"),
         F.lit(None).cast("string").alias("supplier_gstin"),
         F.lit(None).cast("string").alias("recipient_gstin"),
-        gstin_for(k, F.col("c")).alias("party_gstin"),
+        "party_gstin",
         F.when(~own, F.concat(F.lit("Party "), F.col("c").cast("string"))).alias("supplier_name"),
         F.when(own, F.concat(F.lit("Party "), F.col("c").cast("string"))).alias("customer_name"),
         F.when((k % 20).isin(14, 15) & (k % 3 != 0), F.concat(F.lit("INV-"), (k - 1).cast("string")))

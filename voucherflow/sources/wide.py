@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voucherflow import schema
-from voucherflow.sources.tables import table
+from voucherflow.sources.tables import spread, table
 
 # One line per slot (order key modulo 30): expected category, then Column=value pairs.
 # {k} is the order key, {a} the order total with two decimals.
@@ -74,7 +74,7 @@ def _value(text: str, k: Column, amount: Column) -> Column:
 
 
 def wide_vouchers(spark: SparkSession, folder: str) -> DataFrame:
-    o = table(spark, folder, "orders").select(
+    o = spread(table(spark, folder, "orders")).select(
         F.col("o_orderkey").alias("k"), F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("a"),
         (F.col("o_orderkey") % 30).cast("int").alias("slot"), F.col("o_orderkey").cast("string").alias("ks"))
     k, c = F.col("k"), F.col
