@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voucherflow.llm import sharding
+from voucherflow.llm import sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,3 +29,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def op9(spark, folder):
     """Every document in one of 24 shards of near-equal bytes; equal texts share a shard."""
     return sharding.shard(table(spark, folder, "documents"), shards=24)
+
+
+@query("op2_vantage_components")
+def op2(spark, folder):
+    """Every document's 64-bit fingerprint over 4-word shingles and its component at 4 or fewer differing bits."""
+    found = simhash.components(table(spark, folder, "documents"), words=4, radius=4)
+    return found.select("doc_id", simhash.hex_of("fp").alias("fingerprint"), "component_id")
