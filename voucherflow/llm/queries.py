@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voucherflow.llm import chat, pii, sharding, simhash, topk
+from voucherflow.llm import chat, language, pii, sharding, simhash, topk
+from voucherflow.llm.common import crc_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,3 +66,13 @@ def op8(spark, folder):
 def op4(spark, folder):
     """Personal data in every document: counts and digest of the base kinds, and all spans."""
     return pii.digest(pii.find(table(spark, folder, "documents")))
+
+
+@query("op1_crf_language")
+def op1(spark, folder):
+    """Language of every document, learned from the labelled documents that are not held out."""
+    docs = table(spark, folder, "documents")
+    held_out = F.pmod(crc_of("doc_id"), F.lit(4)) == 2
+    field = language.learn(docs, ~held_out)
+    found = language.identify(docs, field)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "n_words", F.size("runs").alias("n_runs"))
