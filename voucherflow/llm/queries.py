@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voucherflow.llm import chat, language, pii, sharding, simhash, topk
+from voucherflow.llm import chat, kneser_ney, language, pii, sharding, simhash, topk
 from voucherflow.llm.common import crc_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,12 @@ def op1(spark, folder):
     field = language.learn(docs, ~held_out)
     found = language.identify(docs, field)
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "n_words", F.size("runs").alias("n_runs"))
+
+
+@query("op3_kneser_ney")
+def op3(spark, folder):
+    """Every document's log10 probability under a bigram model of the documents that are not held out."""
+    docs = table(spark, folder, "documents")
+    held_out = F.pmod(crc_of("doc_id"), F.lit(10)) == 0
+    model = kneser_ney.fit(docs.where(~held_out))
+    return kneser_ney.score(docs, model).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
