@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from voucherflow.llm.common import slices
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
+SLICE = 1 << 18         # bytes of text encoded before its tokens are handed on
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 _PLAIN, _ESCAPED = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 _TURN = re.compile(re.escape(START) + "(.*?)" + re.escape(SEP) + "(.*?)" + re.escape(END) + "\n", re.S)
@@ -65,15 +66,12 @@ def mask(offsets: np.ndarray, spans: np.ndarray, trained: np.ndarray) -> np.ndar
 
 def masked_text(formatted: str, offsets: np.ndarray, loss: np.ndarray) -> list[str]:
     """Pieces of the string under the mask; tokens that share a character (its bytes) give it once."""
-    out, start, end = [], None, None
-    for a, b in offsets[loss].tolist():
-        if start is not None and a <= end:
-            end = max(end, b)
-            continue
-        if start is not None:
-            out.append(formatted[start:end])
-        start, end = a, b
-    return out if start is None else [*out, formatted[start:end]]
+    at = offsets[loss]
+    if not len(at):
+        return []
+    end = np.maximum.accumulate(at[:, 1])
+    first = np.flatnonzero(np.r_[True, at[1:, 0] > end[:-1]])
+    return [formatted[a:b] for a, b in zip(at[first, 0].tolist(), end[np.r_[first[1:], len(at)] - 1].tolist(), strict=True)]
 
 
 _LOADED: dict[str, object] = {}
@@ -101,18 +99,19 @@ def format_chats(rows: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
 
     def run(batches):
         tok = _tokenizer(tokenizer)
-        for piece in slices(batches, "size", 1 << 20):
+        for piece in slices(batches, "size", SLICE):
             made = [render(list(zip(r, t, strict=True))) for r, t in zip(piece.column("roles").to_pylist(), piece.column("texts").to_pylist(), strict=True)]
-            coded = tok.encode_batch([m[0] for m in made], add_special_tokens=False)
-            ids, starts, ends, masks = [], [], [], []
-            for (_, spans, trained), code in zip(made, coded, strict=True):
-                offsets = np.array(code.offsets, np.int64).reshape(-1, 2)
-                ids.append(code.ids), starts.append(offsets[:, 0].astype(np.int32)), ends.append(offsets[:, 1].astype(np.int32))
-                masks.append(mask(offsets, np.array(spans, np.int64).reshape(-1, 2), np.array(trained, bool)))
-            yield pa.RecordBatch.from_arrays(
-                [piece.column("conv_id"), pa.array([m[0] for m in made], pa.string()), pa.array(ids, pa.list_(pa.int32())), pa.array(starts, pa.list_(pa.int32())),
-                 pa.array(ends, pa.list_(pa.int32())), pa.array([m.tolist() for m in masks], pa.list_(pa.bool_()))],
-                ["conv_id", "formatted", "token_ids", "token_starts", "token_ends", "loss_mask"])
+            ids, offsets, masks = [], [], []
+            for text, spans, trained in made:
+                code = tok.encode(text, add_special_tokens=False)
+                ids.append(np.array(code.ids, np.int32))
+                offsets.append(np.array(code.offsets, np.int32).reshape(-1, 2))
+                masks.append(mask(offsets[-1], np.array(spans, np.int64).reshape(-1, 2), np.array(trained, bool)))
+            ends = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
+            both = np.concatenate(offsets)
+            flat = (np.concatenate(ids), np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1]), np.concatenate(masks))
+            yield pa.RecordBatch.from_arrays([piece.column("conv_id"), pa.array([m[0] for m in made], pa.string()), *(pa.ListArray.from_arrays(ends, pa.array(x)) for x in flat)],
+                                             ["conv_id", "formatted", "token_ids", "token_starts", "token_ends", "loss_mask"])
     return chats.mapInArrow(run, FORMATTED)
 
 
@@ -121,11 +120,15 @@ def digest(formatted: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             out = []
-            cols = [batch.column(c).to_pylist() for c in ("conv_id", "formatted", "token_starts", "token_ends", "loss_mask")]
-            for conv, text, a, b, loss in zip(*cols, strict=True):
+            cut = batch.column("token_starts").offsets.to_numpy()
+            starts, ends = (batch.column(c).values.to_numpy() for c in ("token_starts", "token_ends"))
+            masks = batch.column("loss_mask").values.to_numpy(zero_copy_only=False)
+            base = batch.column("loss_mask").offsets.to_numpy()
+            for n, (conv, text) in enumerate(zip(batch.column("conv_id").to_pylist(), batch.column("formatted"), strict=True)):
+                text, loss = text.as_py(), masks[base[n]:base[n + 1]]
+                offsets = np.stack([starts[cut[n]:cut[n + 1]], ends[cut[n]:cut[n + 1]]], axis=1)
                 turns = parse(text)
-                offsets = np.array([a, b], np.int64).T.reshape(-1, 2)
-                under = unescape_pieces(text, offsets, np.array(loss, bool))
+                under = unescape_pieces(text, offsets, loss)
                 out.append((conv, len(turns), hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode("utf-8", "surrogatepass")).hexdigest(), len(under),
                             hashlib.sha256(under.encode("utf-8", "surrogatepass")).hexdigest(), len(text), int(np.sum(loss)), len(loss)))
             names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_loss_tokens", "n_tokens"]
