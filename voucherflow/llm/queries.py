@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voucherflow.llm import chat, kneser_ney, language, pii, sharding, simhash, topk
+from voucherflow.llm import chat, decontaminate, kneser_ney, language, pii, sharding, simhash, topk
 from voucherflow.llm.common import crc_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,9 @@ def op3(spark, folder):
     held_out = F.pmod(crc_of("doc_id"), F.lit(10)) == 0
     model = kneser_ney.fit(docs.where(~held_out))
     return kneser_ney.score(docs, model).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
+@query("op10_latent_contamination")
+def op10(spark, folder):
+    """Every document that holds a benchmark item or a paraphrase of it, with the item and how far they agree."""
+    return decontaminate.matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
