@@ -335,6 +335,17 @@ def identify(docs: DataFrame, field: Field | None) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, LABELLED)
 
 
+def keep_known(docs: DataFrame, field: Field | None, min_score: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns as they are, whose text has one language with a score of at least `min_score`."""
+    shared = docs.sparkSession.sparkContext.broadcast(field)
+
+    def run(batches):
+        for piece in slices(batches, "text", 4 << 20):
+            lang, score, _, _ = label_texts(shared.value, piece.column("text"))
+            yield piece.filter(pa.array([name != UNKNOWN and s >= min_score for name, s in zip(lang, score, strict=True)], pa.bool_()))
+    return docs.mapInArrow(run, docs.schema)
+
+
 def learn(docs: DataFrame, usable, **sample) -> Field | None:
     """A field learned from the rows with a text and a language for which `usable` holds."""
     return train(sample_windows(docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & usable).select("doc_id", "text", "lang"), **sample))

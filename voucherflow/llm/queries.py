@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voucherflow.llm import chat, decontaminate, kneser_ney, language, pii, sharding, simhash, topk
+from voucherflow.llm import chat, decontaminate, kneser_ney, language, line_dedup, mixing, pii, sharding, simhash, topk
 from voucherflow.llm.common import crc_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,18 @@ def op3(spark, folder):
 def op10(spark, folder):
     """Every document that holds a benchmark item or a paraphrase of it, with the item and how far they agree."""
     return decontaminate.matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op5_hierarchical_mix")
+def op5(spark, folder):
+    """The documents that a tree of domains, languages and sources gives for as many tokens as there are, in up to two epochs."""
+    docs = table(spark, folder, "documents")
+    mixed = mixing.select(docs, mixing.source_domain(), budget_share=1.0, max_epochs=2, temperature=0.3)
+    return mixed.select("doc_id", "mix_domain", "lang", "source", "mix_tokens", "mix_epochs")
+
+
+@query("op7_patience_lines")
+def op7(spark, folder):
+    """Every document without the line blocks that it shares with an earlier one."""
+    cleaned = line_dedup.dedup(table(spark, folder, "documents"))
+    return cleaned.select("doc_id", "n_lines", "n_deleted", F.length("text").alias("kept_chars"), F.sha2(F.col("text"), 256).alias("kept_sha256"))
