@@ -83,8 +83,8 @@ def _dealt(keys: np.ndarray, counts: np.ndarray, bucket: np.ndarray) -> pa.Recor
     """One row for each bucket with its sorted keys and their counts."""
     order = np.argsort(bucket, kind="stable")
     bucket, keys, counts = bucket[order], keys[order], counts[order].astype(np.uint64)
-    cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-    rows = [(int(bucket[a]), pack(keys[a:b]), pack(counts[a:b])) for a, b in zip(cut, np.r_[cut[1:], len(keys)], strict=True)]
+    cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])[:len(bucket)]
+    rows = [(int(bucket[a]), pack(keys[a:b]), pack(counts[a:b])) for a, b in zip(cut, np.r_[cut, len(keys)][1:], strict=True)]
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())],
                                       ["bucket", "keys", "counts"])
 
@@ -126,8 +126,8 @@ def _by_bucket(bucket: np.ndarray):
     """(bucket, members) for each bucket that occurs."""
     order = np.argsort(bucket, kind="stable")
     sorted_ = bucket[order]
-    cut = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]]) if len(order) else []
-    for a, b in zip(cut, [*cut[1:], len(order)], strict=True):
+    cut = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]]) if len(order) else np.empty(0, np.int64)
+    for a, b in zip(cut, np.r_[cut, len(order)][1:], strict=True):
         yield int(sorted_[a]), order[a:b]
 
 
@@ -314,7 +314,7 @@ def score_texts(model: Model, texts: pa.Array):
     total, n1, n2, n3, contexts = _word_values(model.folder, model.first, ids, STATS)
     base = np.log10((count + 0.1) / (model.tokens + 0.1 * (model.vocabulary + 1)))
     d = model.word_discounts[np.minimum(contexts, 3).astype(np.int64)]
-    unigram = model.rest / (model.vocabulary + 1) + (np.maximum(contexts - d, 0) / model.pair_types if model.pair_types else 0.0)
+    unigram = model.rest / (model.vocabulary + 1) + np.maximum(contexts - d, 0) / max(1, model.pair_types)
     p = model.pair_discounts
     safe = np.maximum(total, 1)
     back = np.where(total > 0, (p[1] * n1 + p[2] * n2 + p[3] * n3) / safe, 1.0)

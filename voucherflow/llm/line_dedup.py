@@ -31,7 +31,7 @@ def with_lines(docs: DataFrame) -> DataFrame:
     """One row for each distinct (doc_id, text): key, doc_id, hashes of its lines (0: blank) and words in each."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("text_hash", F.xxhash64("text"))
-    lines = F.transform(F.split("text", "\n", -1), F.trim)
+    lines = F.transform(F.split("text", "\n", -1), lambda x: F.trim(x))
     hashes = F.transform(lines, lambda x: F.when(x == "", F.lit(0).cast("long")).otherwise(F.xxhash64(x)))
     words = F.transform(lines, lambda x: F.when(x == "", F.lit(0)).otherwise(F.length(x) - F.length(F.regexp_replace(x, r"\s+", "")) + 1))
     return rows.select("doc_id", "text_hash", hashes.alias("lines"), words.cast("array<int>").alias("words"))

@@ -203,7 +203,7 @@ def links(nodes: DataFrame, total: int, radius: int, blocks: int, reach: int, sa
     chosen = nodes.where(F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < F.lit(int(share * (1 << 40)))).select(columns[1:]).limit(2 * sample)
     seed = np.array([tuple(r) for r in chosen.collect()], np.int64).reshape(-1, len(columns) - 1).view(np.uint64)
     seed = seed[np.lexsort(seed.T[::-1])] if len(seed) else seed
-    scale = total / max(1, len(seed))
+    scale = max(1.0, total / max(1, len(seed)))
     trees = [grow(np.ascontiguousarray(seed[:, k]), k + 1, mask, reach, max(1.0, leaf / scale), scale, tile) for k in range(len(columns) - 1) for mask in bit_blocks(blocks)]
     first = np.cumsum([0, *(int((t.home_tiles * t.visit_tiles).sum()) for t in trees)])
 
