@@ -41,9 +41,9 @@ def pairs(documents: DataFrame, rare: int = RARE) -> DataFrame:
     """(a, b), a before b, for documents with key and lines."""
     held = documents.select("key", F.explode(F.array_distinct("lines")).alias("line")).where("line <> 0")
     facts = held.groupBy("line").agg(F.count("*").alias("n"), F.min("key").alias("first")).where("n > 1")
-    tied = held.join(facts, "line")
-    often = tied.where((F.col("n") > rare) & (F.col("key") > F.col("first"))).select(F.col("first").alias("a"), F.col("key").alias("b"))
-    few = tied.where(F.col("n") <= rare).groupBy("line").agg(F.sort_array(F.collect_list("key")).alias("keys"))     # at most `rare` keys
+    # Frequent and rare lines are joined apart: the first join has no grouping behind it, so a very frequent line's rows can be split.
+    often = held.join(facts.where(F.col("n") > rare), "line").where(F.col("key") > F.col("first")).select(F.col("first").alias("a"), F.col("key").alias("b"))
+    few = held.join(facts.where(F.col("n") <= rare), "line", "left_semi").groupBy("line").agg(F.sort_array(F.collect_list("key")).alias("keys"))     # at most `rare` keys
     each = few.select(F.posexplode("keys").alias("at", "b"), "keys").select(F.explode(F.slice("keys", 1, F.col("at"))).alias("a"), "b")
     return each.unionByName(often).distinct()
 
