@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from voucherflow.config import Rules, load_rules
 from voucherflow.operators import audit as Q
 from voucherflow.operators import certificates as CE
+from voucherflow.operators import features, normalize, rules
 from voucherflow.operators import metrics as M
 from voucherflow.operators.ranking import overall_rank
 from voucherflow.sources import readers, sinks
@@ -38,7 +39,7 @@ def test_components_match_a_plain_search(spark):
 
 def test_overall_rank_is_a_full_order(spark):
     df = spark.range(1000).select("id", (F.col("id") % 3).alias("g"), (F.col("id") % 7).alias("h"))
-    got = [tuple(r) for r in overall_rank(df, [("g", True), ("h", False)], "id", 50, "place").select("place", "g", "h", "id").orderBy("place").collect()]
+    got = [tuple(r) for r in overall_rank(df, [("g", True), ("h", False)], "id", "place").select("place", "g", "h", "id").orderBy("place").collect()]
     want = sorted(((i % 3, i % 7, i) for i in range(1000)), key=lambda t: (t[0], -t[1], t[2]))
     assert got == [(n + 1, *t) for n, t in enumerate(want)]
 
@@ -48,11 +49,40 @@ def test_csv_rows_keep_their_numbers(spark, tmp_path):
         (tmp_path / f"{name}.csv").write_text("Invoice No,Amount\n" + "".join(f"{name}{i},{i}\n" for i in range(n)))
     spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
     try:
-        rows = readers.read_sheet(spark, str(tmp_path), "csv").collect()
+        for multiline in (True, False):
+            rows = readers.read_sheet(spark, str(tmp_path), "csv", multiline).collect()
+            assert len(rows) == 5017 and all(r["source_row"] == int(r["Amount"]) + 2 for r in rows)
+            assert len({r["source_ref"] for r in rows}) == len({r["ord"] for r in rows}) == 5017
+            assert {r["source_ref"] for r in rows if r["Amount"] == "0"} == {"a!R2", "b!R2"}
+            assert [r["Invoice No"] for r in sorted(rows, key=lambda r: r["ord"])] == [f"a{i}" for i in range(5000)] + [f"b{i}" for i in range(17)]
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
-    assert len(rows) == 5017 and all(r["source_row"] == int(r["Amount"]) + 2 for r in rows)
-    assert {r["source_ref"] for r in rows if r["Amount"] == "0"} == {"csv!R2"}
+    assert {r["source_ref"] for r in readers.read_sheet(spark, str(tmp_path / "b.csv")).collect()} == {f"csv!R{i}" for i in range(2, 19)}
+
+
+def test_line_breaks_inside_quotes(spark, tmp_path):
+    (tmp_path / "my q.csv").write_text('Invoice No,Narration\n1,"two\nlines and a ""quote"""\n2,one\n')
+    got = readers.read_sheet(spark, str(tmp_path / "my q.csv")).orderBy("ord").collect()
+    assert [(r["Invoice No"], r["Narration"], r["source_ref"]) for r in got] == [("1", 'two\nlines and a "quote"', "csv!R2"), ("2", "one", "csv!R3")]
+
+
+def test_two_files_of_one_name_and_two_formats_keep_apart(spark, tmp_path):
+    for folder in ("x", "y"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "s.csv").write_text("Amount\n1\n2\n")
+    (tmp_path / "x" / "s.json").write_text('{"Amount": "3"}\n')
+    got = readers.read_sheets(spark, [(str(tmp_path / "x" / "s.csv"), "csv"), (str(tmp_path / "y"), "csv"), (str(tmp_path / "x" / "s.json"), "json")]).collect()
+    assert sorted(r["source_ref"] for r in got) == ["x/s.csv!R2", "x/s.csv!R3", "x/s.json!R2", "y/s!R2", "y/s!R3"]
+
+
+def test_readme_pipeline_gives_one_feature_row_for_each_input_row(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.csv").write_text("Invoice Number,Invoice Date,Taxable Value,GST Rate\n" + "".join(f"{name}{i},2024-01-0{i + 1},100,18\n" for i in range(2)))
+    raw = readers.read_sheets(spark, [(str(tmp_path / f"{n}.csv"), "csv") for n in ("a", "b")])
+    decided = rules.decide(raw)
+    cls = decided.selectExpr("source_ref", "rule_category AS category", "CAST(NULL AS double) AS score", "rule_status <> 'RULE_MATCH' AS ambiguous")
+    got = features.features(normalize.normalize(raw), Rules(), "27AAACB1234C1ZF", cls).select("source_ref", "invoice_number").collect()
+    assert sorted(map(tuple, got)) == [("a!R2", "a0"), ("a!R3", "a1"), ("b!R2", "b0"), ("b!R3", "b1")]
 
 
 def test_json_records(spark):

@@ -62,4 +62,4 @@ class Limits:
     max_columns: int | None = None
     max_sheets: int | None = None
     max_bytes: int | None = None
-    max_cell_chars: int | None = 2000
+    max_cell_chars: int | None = None

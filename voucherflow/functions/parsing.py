@@ -42,7 +42,7 @@ def fold_space(c: Column) -> Column:
     return F.coalesce(fold_header(c.cast("string")), F.lit(""))
 
 
-def clean_cell(c: Column, max_chars: int | None = 2000) -> Column:
+def clean_cell(c: Column, max_chars: int | None = None) -> Column:
     """Drop control characters and surrounding blanks; null tokens and empty cells become null."""
     text = trim_all(F.regexp_replace(c.cast("string"), CONTROL_CHARS, ""))
     kept = F.when((text != "") & ~F.lower(text).isin(*schema.CELL_NULLS), text)
@@ -70,7 +70,7 @@ def money_text(c: Column) -> Column:
     raw = trim_all(c.cast("string"))
     bare = F.regexp_replace(raw, MONEY_MARKS, "")
     negative = raw.startswith("(") & raw.endswith(")")
-    signed = F.when(negative & bare.startswith("-"), F.substring(bare, 2, 2000)) \
+    signed = F.when(negative & bare.startswith("-"), bare.substr(F.lit(2), F.length(bare))) \
         .when(negative, F.concat(F.lit("-"), bare)).otherwise(bare)
     return F.when(~bare.isin("", "-"), signed)
 

@@ -165,13 +165,13 @@ def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
-def build_queue(cases: DataFrame, width: int = 100_000) -> DataFrame:
+def build_queue(cases: DataFrame) -> DataFrame:
     """Rank by priority, then by how common the disagreement is, its name and the case number."""
     rows = assess(cases)
     sizes = rows.groupBy("pair").agg(F.count(F.lit(1)).alias("pair_rows"))     # label pairs: a few hundred at most
     order = F.create_map(*[F.lit(x) for item in PRIORITY_ORDER.items() for x in item])[F.col("priority")]
     rows = rows.join(sizes, "pair").withColumns({"priority_order": order, "case_no": case_number(F.col("review_case_id"))})
-    return overall_rank(rows, [("priority_order", True), ("pair_rows", False), ("pair", True)], "case_no", width, "queue_rank")
+    return overall_rank(rows, [("priority_order", True), ("pair_rows", False), ("pair", True)], "case_no", "queue_rank")
 
 
 def type_table(queue: DataFrame) -> DataFrame:

@@ -104,11 +104,11 @@ def rows_holding_values(texts: DataFrame, key: str, text: str, values: DataFrame
     return tokens.join(values.select(F.col("value").alias("token")).distinct(), "token", "left_semi")
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of an undirected edge table (a, b), by alternating large and small star steps.
 
     The component is named after its smallest node. Neighbour minima are partial
-    aggregates; each round is cut with a checkpoint in the shared folder.
+    aggregates; each round is cut with a checkpoint in the shared folder. It runs until no edge changes.
     """
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
@@ -116,7 +116,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     nodes = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
     links = flat.filter("a <> b").distinct().checkpoint()
     last = None
-    for _ in range(max_rounds):
+    while True:
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.filter("b > a").join(low, "a").select(F.col("m").alias("a"), "b").filter("a <> b").distinct()
@@ -129,8 +129,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         if mark == last:
             break
         last = mark
-    else:
-        raise RuntimeError("components did not settle; raise max_rounds")
     named = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component"))
     return nodes.join(named, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 

@@ -9,7 +9,7 @@ from voucherflow import schema
 from voucherflow.functions.parsing import fold_space, trim_all
 from voucherflow.functions.text import mask_text, padded_char_ngrams, word_ngrams
 from voucherflow.operators.features import once
-from voucherflow.operators.ranking import in_percent, running_before
+from voucherflow.operators.ranking import in_percent, in_ranges, running_before
 
 ALL_GROUPS = ("narration", "item", "categorical", "presence", "relationships")
 TOLERANCE = 0.02   # fixed value: relative tolerance of the relationship features
@@ -111,9 +111,9 @@ def group_holdout(df: DataFrame, label: str, core: Column, share: float = 0.20)
     """Per label: whole groups, in hash order, until the share of its rows is reached; one group held, one kept."""
     sizes = df.groupBy(F.col(label).alias("label"), core.alias("core")).agg(F.count(F.lit(1)).alias("n_rows")) \
         .withColumns({"h": F.md5("core"), "one": F.lit(1).cast("bigint")})
-    bucket = F.substring("h", 1, 2)
-    walked = running_before(sizes, ["label"], bucket, [F.col("h")], "n_rows", "rows_before")
-    walked = running_before(walked, ["label"], bucket, [F.col("h")], "one", "groups_before")
+    sizes = in_ranges(sizes, [F.col("label"), F.col("h")], "__range")
+    walked = running_before(sizes, ["label"], F.col("__range"), [F.col("h")], "n_rows", "rows_before")
+    walked = running_before(walked, ["label"], F.col("__range"), [F.col("h")], "one", "groups_before")
     totals = sizes.groupBy("label").agg(F.sum("n_rows").alias("label_rows"), F.count(F.lit(1)).alias("label_groups"))
     held = (F.col("rows_before") < F.col("label_rows") * share) & (F.col("groups_before") < F.col("label_groups") - 1)
     return walked.join(totals, "label").select("label", "core", "n_rows", held.alias("held_out"))

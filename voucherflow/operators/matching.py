@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +39,17 @@ def agreement_split(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.withColumn("queue", F.when(same, "pseudo_label").otherwise("hard_negative")).withColumn("pseudo_label", F.when(same, F.col(a)))
 
 
+def poisson_edges() -> list[float]:
+    """Where the Poisson(1) distribution steps up, as far as a 32-bit draw can tell."""
+    edges, p, edge, k = [], math.exp(-1.0), 0.0, 0
+    while edge + p <= 1.0 - 2.0 ** -32:
+        edge += p
+        edges.append(edge)
+        k += 1
+        p /= k
+    return edges
+
+
 def bootstrap_clusters(df: DataFrame, cluster: str, hit: Column, rounds: int) -> DataFrame:
     """Accuracy per round, resampling whole clusters with a Poisson(1) weight drawn from a hash.
 
@@ -45,11 +58,9 @@ def bootstrap_clusters(df: DataFrame, cluster: str, hit: Column, rounds: int) ->
     totals = df.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"), F.count_if(hit).alias("hits"))
     draws = totals.select(cluster, "n", "hits", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
     u = F.conv(F.substring(F.md5(F.concat_ws("/", F.col(cluster).cast("string"), F.col("round").cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    weight, edge, p = F.lit(0), 0.0, 2.718281828459045 ** -1
-    for k in range(6):
-        edge += p
+    weight = F.lit(0)
+    for edge in poisson_edges():
         weight = weight + F.when(u >= edge, 1).otherwise(0)
-        p /= k + 1
     return draws.withColumn("w", weight).groupBy("round").agg(
         (F.sum(F.col("w") * F.col("hits")) / F.sum(F.col("w") * F.col("n"))).alias("accuracy"))
 

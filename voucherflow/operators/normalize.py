@@ -45,7 +45,7 @@ def drop_labels(df: DataFrame) -> DataFrame:
     return df.drop(*dropped_columns(df.columns))
 
 
-def clean_cells(df: DataFrame, max_chars: int | None = 2000) -> DataFrame:
+def clean_cells(df: DataFrame, max_chars: int | None = None) -> DataFrame:
     """Every data column as cleaned text."""
     kinds = dict(df.dtypes)
 
@@ -132,7 +132,7 @@ def extract_fields(df: DataFrame) -> DataFrame:
 def raw_map(df: DataFrame) -> Column:
     """Non-empty cells by column name."""
     names = [c for c in df.columns if c not in PROVENANCE]
-    pairs = [x for n in names for x in (F.lit(n.strip()[:200]), F.col(f"`{n}`"))]
+    pairs = [x for n in names for x in (F.lit(n.strip()), F.col(f"`{n}`"))]
     return F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull())
 
 

@@ -218,7 +218,7 @@ def win_01(spark, sf):
 
 @query("win_02", with_("console", "SELECT id, row_number() OVER (ORDER BY status, category DESC, id) AS place FROM console"))
 def win_02(spark, sf):
-    return overall_rank(console_rows(spark, sf).select("id", "status", "category"), [("status", True), ("category", False)], "id", 2000, "place").select("id", "place")
+    return overall_rank(console_rows(spark, sf).select("id", "status", "category"), [("status", True), ("category", False)], "id", "place").select("id", "place")
 
 
 @query("win_04", with_("books", "SELECT category, source_ref FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY ord) AS rn FROM books) WHERE rn <= 5"))

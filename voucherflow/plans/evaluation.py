@@ -349,7 +349,7 @@ FROM (SELECT *, {_PRIO} AS priority, count(*) OVER (PARTITION BY pair_name) AS p
 @query("adj_05", with_("ranked_cases", "SELECT queue_rank, review_case_id, pair_name AS pair, kind, priority, definitions, pair_rows, "
                                        "array_to_string(list_concat(candidates, list_filter(CASE WHEN r1 = r2 THEN [r1] ELSE [r1, r2] END, lambda x: x <> 'NEEDS_ADJUDICATION' AND NOT list_contains(candidates, x))), ' | ') AS candidate_categories FROM ranked_cases"))
 def adj_05(spark, sf):
-    return J.build_queue(review_cases(spark, sf).filter("needs_adjudication"), 1000).select(
+    return J.build_queue(review_cases(spark, sf).filter("needs_adjudication")).select(
         "queue_rank", "review_case_id", "pair", "kind", "priority", "definitions", "pair_rows", "candidate_categories")
 
 

@@ -11,6 +11,7 @@ from voucherflow.operators import accounting as A
 from voucherflow.operators import features as FE
 from voucherflow.operators import filing as FI
 from voucherflow.operators import validation as V
+from voucherflow.operators.ranking import overall_rank
 from voucherflow.plans.ctes import cte, gstin_status_sql, lit, money, with_
 from voucherflow.plans.registry import query
 from voucherflow.sources import tables as T
@@ -238,7 +239,7 @@ def led_01(spark, sf):
 @query("acc_11", with_("calcs ledgers", """
 SELECT name, status, rows_included, rows_missing FROM calcs UNION ALL
 SELECT 'ledger_balance:' || ledger, CASE WHEN reconciles THEN 'COMPLETE' WHEN reconciles IS NULL THEN 'UNRESOLVED' ELSE 'INCOMPLETE' END,
- least(n_rows, 50), 0 FROM ledgers"""))
+ n_rows, 0 FROM ledgers"""))
 def acc_11(spark, sf):
     f = feats(spark, sf)
     return A.calculation_checks(A.calculations(f, RULES), A.ledger_balances(f))
@@ -451,15 +452,9 @@ def val_30(spark, sf):
 @query("top_04", with_("disc", f"""
 SELECT code, key, severity, row_number() OVER (ORDER BY {_RANK_SQL}, code, first_ord, key) AS place FROM disc"""))
 def top_04(spark, sf):
-    """Severity-then-code order: offsets come from the per-code counts, places are ranked inside a code."""
-    from pyspark.sql import Window as W
-    groups = V.discrepancies(V.findings(feats(spark, sf), RULES), rules=RULES)
-    sizes = groups.groupBy("severity_rank", "code").agg(F.count(F.lit(1)).alias("n"))   # at most one row per code
-    before = W.orderBy("severity_rank", "code").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select("severity_rank", "code", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    inside = W.partitionBy("severity_rank", "code").orderBy("first_ord", "key")
-    return groups.withColumn("rn", F.row_number().over(inside)).join(F.broadcast(offsets), ["severity_rank", "code"]) \
-        .select("code", "key", "severity", (F.col("offset") + F.col("rn")).cast("bigint").alias("place"))
+    """Severity-then-code order over ranges of the whole list."""
+    groups = V.discrepancies(V.findings(feats(spark, sf), RULES), rules=RULES).select("code", "key", "severity", "severity_rank", "first_ord")
+    return overall_rank(groups, [("severity_rank", True), ("code", True), ("first_ord", True)], "key", "place").select("code", "key", "severity", "place")
 
 
 _RF_ENTRY = f"CAST({_RANK_SQL} AS VARCHAR) || ':' || code || ':' || severity || ':' || status"

@@ -89,11 +89,13 @@ def spc_06(spark, sf):
     return rows.select("model", "label", "support", F.round(lo, 9).alias("lo"), F.round(hi, 9).alias("hi"))
 
 
-@query("spc_bootstrap", with_("predictions", """
-SELECT round, round(sum(w * hits) / sum(w * n)::DOUBLE, 9) AS accuracy FROM (SELECT *, (CASE WHEN u >= 0.36787944117144233::DOUBLE THEN 1 ELSE 0 END + CASE WHEN u >= 0.7357588823428847::DOUBLE THEN 1 ELSE 0 END
- + CASE WHEN u >= 0.9196986029286058::DOUBLE THEN 1 ELSE 0 END + CASE WHEN u >= 0.9810118431238462::DOUBLE THEN 1 ELSE 0 END + CASE WHEN u >= 0.9963401531726563::DOUBLE THEN 1 ELSE 0 END
- + CASE WHEN u >= 0.9994058151824183::DOUBLE THEN 1 ELSE 0 END) AS w FROM (SELECT split_group, n, hits, round, CAST('0x' || substr(md5(CAST(split_group AS VARCHAR) || '/' || CAST(round AS VARCHAR)), 1, 8) AS BIGINT)::DOUBLE / 4294967296.0::DOUBLE AS u
- FROM (SELECT split_group, count(*) AS n, count_if(pred_a = actual) AS hits FROM predictions GROUP BY 1), (SELECT unnest(range(1, 51)) AS round))) GROUP BY 1"""))
+_DRAWN = " + ".join(f"CASE WHEN u >= {edge!r}::DOUBLE THEN 1 ELSE 0 END" for edge in MA.poisson_edges())
+
+
+@query("spc_bootstrap", with_("predictions", f"""
+SELECT round, round(sum(w * hits) / sum(w * n)::DOUBLE, 9) AS accuracy FROM (SELECT *, ({_DRAWN}) AS w
+FROM (SELECT split_group, n, hits, round, CAST('0x' || substr(md5(CAST(split_group AS VARCHAR) || '/' || CAST(round AS VARCHAR)), 1, 8) AS BIGINT)::DOUBLE / 4294967296.0::DOUBLE AS u
+FROM (SELECT split_group, count(*) AS n, count_if(pred_a = actual) AS hits FROM predictions GROUP BY 1), (SELECT unnest(range(1, 51)) AS round))) GROUP BY 1"""))
 def spc_bootstrap(spark, sf):
     return MA.bootstrap_clusters(CN.predictions(spark, sf), "split_group", F.col("pred_a") == F.col("actual"), 50).select(
         F.col("round").cast("bigint").alias("round"), F.round("accuracy", 9).alias("accuracy"))

@@ -2,62 +2,88 @@
 
 from __future__ import annotations
 
+import os
+import re
+from collections import Counter
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voucherflow.functions.literals import fixed_table
 
 FILE_ROW = "__row"
+FILE_ROWS = 1 << 36        # `ord` leaves room for so many rows in a file
+FORMATS = ("csv", "json", "parquet")
 
 
 def _with_file_rows(df: DataFrame) -> DataFrame:
-    """Zero-based row number inside each file for splittable text formats.
+    """Zero-based row number inside each file of a text format.
 
-    Each split numbers its own rows; the offset of a split is the running count of
-    the splits before it in the same file. Only (file, split, count) is shuffled.
+    Spark numbers rows by partition; what is taken off is the number of a file's first row in each split, plus the rows of the
+    splits before it. That table has one row for each split of a file, and it alone is grouped and ordered.
     """
-    place = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_name").alias("__name"),
-                      F.col("_metadata.file_block_start").alias("__block")).withColumn("__id", F.monotonically_increasing_id())
-    from pyspark.sql import Window as W
+    place = df.select("*", F.regexp_replace("_metadata.file_path", "^file:/+", "file:/").alias("__file"), F.col("_metadata.file_block_start").alias("__block")).withColumn("__id", F.monotonically_increasing_id())
     splits = place.groupBy("__file", "__block").agg(F.min("__id").alias("__first"), F.count(F.lit(1)).alias("__n"))
     before = W.partitionBy("__file").orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
-    splits = splits.select("__file", "__block", "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
-    return place.join(splits, ["__file", "__block"]).withColumn(
-        FILE_ROW, F.col("__offset") + F.col("__id") - F.col("__first")).drop("__file", "__block", "__id", "__first", "__offset")
+    splits = splits.select("__file", "__block", (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).alias("__shift"))
+    return place.join(splits, ["__file", "__block"]).withColumn(FILE_ROW, F.col("__id") + F.col("__shift")).drop("__block", "__id", "__shift")
 
 
-def read_sheet(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    """One folder or file per sheet. CSV references look like 'csv!R<row>', counting the header as row 1."""
+def _load(spark: SparkSession, path: str, fmt: str, multiline: bool) -> DataFrame:
     if fmt == "csv":
-        raw = spark.read.option("header", True).csv(path)
-        rows = _with_file_rows(raw)
-        label = F.lit("csv")
-    elif fmt == "parquet":
-        raw = spark.read.parquet(path)
-        rows = raw.select("*", F.col("_metadata.file_name").alias("__name"), F.col("_metadata.row_index").alias(FILE_ROW))
-        label = F.regexp_replace("__name", r"\.parquet$", "")
-    elif fmt == "json":
-        rows = _with_file_rows(spark.read.json(path))
-        label = F.regexp_replace("__name", r"\.json$", "")
-    else:
-        raise ValueError(f"unsupported format {fmt}; use csv, json or parquet")
-    return rows.withColumns({
-        "source_sheet": label, "source_row": (F.col(FILE_ROW) + 2).cast("bigint"),
-        "source_ref": F.concat(label, F.lit("!R"), (F.col(FILE_ROW) + 2).cast("string")), "ord": F.col(FILE_ROW).cast("bigint"),
-    }).drop("__name", FILE_ROW)
-
-
-def read_sheets(spark: SparkSession, sheets: list[tuple[str, str]]) -> DataFrame:
-    """Several (path, format) sheets as one table; columns a sheet lacks become null."""
-    out = None
-    for path, fmt in sheets:
-        one = read_sheet(spark, path, fmt)
-        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
-    if out is None:
+        # With line breaks allowed inside quotes a file is one split; without, large files are cut.
+        return spark.read.option("header", True).option("multiLine", multiline).option("escape", '"').csv(path)
+    if fmt == "json":
+        return spark.read.json(path)
+    if fmt == "parquet":
+        return spark.read.parquet(path)
+    raise ValueError(f"unsupported format {fmt}; use csv, json or parquet")
+
+
+def _names(files: list[str]) -> dict[str, str]:
+    """A short unique name for each file: its path below the folder all have in common, without the format's ending where that stays unique."""
+    folder = os.path.commonpath([os.path.dirname(f) for f in files]) if files else ""
+    inner = {f: unquote(f[len(folder):].lstrip("/")) for f in files}
+    bare = {f: re.sub(r"\.(csv|json|parquet)$", "", name) for f, name in inner.items()}
+    counts = Counter(bare.values())
+    return {f: bare[f] if counts[bare[f]] == 1 else inner[f] for f in files}
+
+
+def read_sheet(spark: SparkSession, path: str, fmt: str = "csv", multiline: bool = True) -> DataFrame:
+    """One sheet: a file or a folder of files of one format, with references that are unique in it."""
+    return read_sheets(spark, [(path, fmt)], multiline)
+
+
+def read_sheets(spark: SparkSession, sheets: list[tuple[str, str]], multiline: bool = True) -> DataFrame:
+    """Several (path, format) sheets as one table; columns a sheet lacks become null.
+
+    A reference is '<file>!R<row>', the header counting as row 1, with the file's path below the folder that all files have in
+    common; a single CSV file is just 'csv'. `ord` grows by file, then by row, over all sheets. A file that is named twice is read once for each sheet under one reference, so name each once.
+    `multiline=False` cuts large CSV files into splits, for data without line breaks inside quotes.
+    """
+    if not sheets:
         raise ValueError("no sheets given")
+    loaded = [(_load(spark, path, fmt, multiline), fmt) for path, fmt in sheets]
+    files = sorted({re.sub("^file:/+", "file:/", f) for df, _ in loaded for f in df.inputFiles()})
+    names = {files[0]: "csv"} if len(files) == 1 and loaded[0][1] == "csv" else _names(files)
+    table = spark.createDataFrame([(f, names[f], n) for n, f in enumerate(files)] or [("", "", 0)], "__file string, source_sheet string, __number long")
+    out = None
+    for df, fmt in loaded:
+        rows = df.select("*", F.regexp_replace("_metadata.file_path", "^file:/+", "file:/").alias("__file"), F.col("_metadata.row_index").alias(FILE_ROW)) if fmt == "parquet" else _with_file_rows(df)
+        # One row for each input file, a list that the reader holds on the driver in any case.
+        rows = rows.join(F.broadcast(table), "__file").withColumns({
+            "source_row": (F.col(FILE_ROW) + 2).cast("bigint"), "source_ref": F.concat("source_sheet", F.lit("!R"), (F.col(FILE_ROW) + 2).cast("string")),
+            "ord": (F.col("__number") * FILE_ROWS + F.col(FILE_ROW)).cast("bigint")}).drop("__file", "__number", FILE_ROW)
+        rows = rows.select(*[c for c in rows.columns if c not in PLACE], *PLACE)
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
     return out
 
 
+PLACE = ("source_sheet", "source_row", "source_ref", "ord")
+
+
 def sheet_warnings(spark: SparkSession, sheets: list[tuple[str, str]]) -> DataFrame:
     """Per sheet: dropped label columns, unknown headers, empty or headerless content."""
     from voucherflow.operators import normalize as N
