@@ -62,43 +62,52 @@ def contract_text(fields: tuple[str, ...] = schema.TEXT_FIELDS) -> Column:
     return trim_all(F.concat_ws(" ", *[F.col(f) for f in fields]))
 
 
-def _count(terms: DataFrame, key: str) -> DataFrame:
-    return terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+def with_counts(df: DataFrame, names: list[str]) -> DataFrame:
+    """For each named array of terms, `<name>_distinct` and `<name>_counts`: its distinct terms in order and how often each occurs.
 
+    Runs of the sorted array are cut inside the row, so counting the terms of a document moves no row.
+    """
+    at_least_one = lambda c: F.greatest(F.size(c), F.lit(1))
+    df = once(df, {f"__o_{n}": F.array_sort(n) for n in names})
+    same = lambda o: F.zip_with(o, F.slice(F.concat(F.array(F.lit(None).cast("string")), o), 1, at_least_one(o)), lambda x, y: x.eqNullSafe(y))
+    df = once(df, {f"__s_{n}": same(F.col(f"__o_{n}")) for n in names})             # whether a term equals the one before it
+    df = once(df, {f"__f_{n}": F.filter(F.transform(f"__s_{n}", lambda x, i: F.when(~x, i)), lambda x: x.isNotNull()) for n in names})
+    ends = lambda n: F.slice(F.concat(F.col(f"__f_{n}"), F.array(F.size(f"__o_{n}"))), 2, at_least_one(F.col(f"__f_{n}")))     # a run ends where the next one starts
+    df = once(df, {f"{n}_distinct": F.filter(F.zip_with(f"__o_{n}", f"__s_{n}", lambda x, y: F.when(~y, x)), lambda x: x.isNotNull()) for n in names}
+              | {f"{n}_counts": F.filter(F.zip_with(ends(n), F.col(f"__f_{n}"), lambda x, y: x - y), lambda x: x.isNotNull()) for n in names})
+    return df.drop(*[c for c in df.columns if c.startswith("__")])
 
-def word_counts(df: DataFrame, key: str, text: str, lo: int = 1, hi: int = 2) -> DataFrame:
-    """(key, term, tf) of word n-grams. Tokens are cut once per row, then read by position."""
-    tokens = once(df.select(key, text), {"tokens": F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"\S+"), 0)})
-    return _count(tokens.select(key, F.explode(word_ngrams(F.col("tokens"), lo, hi)).alias("term")), key)
 
+def word_terms(df: DataFrame, key: str, text: str, lo: int = 1, hi: int = 2) -> DataFrame:
+    """(key, terms): word n-grams of each row's text. Tokens are cut once per row, then read by position."""
+    tokens = once(df.select(key, text), {"tokens": F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"\S+"), 0)})
+    return once(tokens, {"terms": word_ngrams(F.col("tokens"), lo, hi)}).select(key, "terms")
 
-def char_counts(df: DataFrame, key: str, text: str, lo: int = 3, hi: int = 5) -> DataFrame:
-    """(key, term, tf) of character n-grams inside blank-padded words.
 
-    Equal words of a row are counted before they are cut, so a repeated word is cut once.
-    """
-    words = df.select(key, F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"\S+"), 0)).alias("w")) \
-        .groupBy(key, "w").agg(F.count(F.lit(1)).alias("times"))
-    grams = words.select(key, "times", F.explode(padded_char_ngrams(F.col("w"), lo, hi)).alias("term"))
-    return grams.groupBy(key, "term").agg(F.sum("times").alias("tf"))
+def char_terms(df: DataFrame, key: str, text: str, lo: int = 3, hi: int = 5) -> DataFrame:
+    """(key, terms): character n-grams inside the blank-padded words of each row's text."""
+    words = once(df.select(key, text), {"words": F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"\S+"), 0)})
+    return once(words, {"terms": F.flatten(F.transform("words", lambda w: padded_char_ngrams(w, lo, hi)))}).select(key, "terms")
 
 
-def tfidf(counts: DataFrame, key: str, n_docs: DataFrame | None = None, min_df: int = 2, max_features: int | None = None) -> DataFrame:
-    """Sublinear tf, smooth idf and unit length, as joins.
+def tfidf(rows: DataFrame, key: str, min_df: int = 2, max_features: int | None = None) -> DataFrame:
+    """(key, term, weight) of rows (key, terms): sublinear counts, smooth idf over all rows (also those without a term), unit length.
 
-    The document frequency table has one row per term and joins on the term; a term
-    found in a third of all rows is split by AQE's skew join. `n_docs` is a one-row
-    count table; it rides along as a column of the (small) term table.
+    Terms are counted inside their row. Document frequencies are partial counts; the term rows move twice, to their frequency (a term of
+    very many rows is a skewed join that adaptive execution splits) and back to their document, where the norm is taken.
     """
-    docs = n_docs if n_docs is not None else counts.select(key).distinct().agg(F.count(F.lit(1)).alias("n_docs"))
-    df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("corpus_tf")).filter(F.col("df") >= min_df)
+    total = rows.agg(F.count(F.lit(1)).alias("n_docs"))         # one row
+    counted = with_counts(rows.select(key, "terms"), ["terms"])
+    each = counted.select(key, F.explode(F.arrays_zip(F.col("terms_distinct").alias("term"), F.col("terms_counts").alias("tf"))).alias("e")).select(key, "e.term", "e.tf")
+    df = each.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("corpus_tf")).filter(F.col("df") >= min_df)
     if max_features:
         df = df.orderBy(F.desc("corpus_tf"), "term").limit(max_features)
-    total = docs.first()[0]                       # one number
-    idf = df.select("term", (F.log(F.lit(1.0 + total) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf"))
-    weighted = counts.join(idf, "term").withColumn("raw", (F.log("tf") + 1.0) * F.col("idf"))
-    norms = weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return weighted.join(norms, key).select(key, "term", (F.col("raw") / F.col("norm")).alias("weight"))
+    idf = df.join(F.broadcast(total)).select("term", (F.log((F.lit(1.0) + F.col("n_docs")) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf"))
+    raw = each.join(idf, "term").select(key, F.struct("term", ((F.log("tf") + 1.0) * F.col("idf")).alias("raw")).alias("e"))
+    # A document's terms in one order, so that its norm does not depend on how they arrive.
+    one = raw.groupBy(key).agg(F.array_sort(F.collect_list("e")).alias("es"))
+    one = one.withColumn("norm", F.sqrt(F.aggregate("es", F.lit(0.0), lambda a, e: a + e["raw"] * e["raw"])))
+    return one.select(key, "norm", F.explode("es").alias("e")).select(key, "e.term", (F.col("e.raw") / F.col("norm")).alias("weight"))
 
 
 def split_by_group(df: DataFrame, group: str) -> DataFrame:

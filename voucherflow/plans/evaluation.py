@@ -81,23 +81,26 @@ def ml_05(spark, sf):
     return CO.prepare(training(spark, sf)).select("ord", CO.contract_text().alias("contract_text"))
 
 
-def _tfidf_sql(terms_cte, having="df >= 2"):
+def _tfidf_sql(terms_cte, rows, having="df >= 2"):
     return f"""
 , df AS (SELECT term, count(*) AS df FROM {terms_cte} GROUP BY 1 HAVING {having}),
-w AS (SELECT key, term, (ln(tf) + 1.0::DOUBLE) * (ln((1.0::DOUBLE + (SELECT count(DISTINCT key) FROM {terms_cte})) / (1.0::DOUBLE + df)) + 1.0::DOUBLE) AS raw FROM {terms_cte} JOIN df USING (term)),
+w AS (SELECT key, term, (ln(tf) + 1.0::DOUBLE) * (ln((1.0::DOUBLE + (SELECT count(*) FROM {rows})) / (1.0::DOUBLE + df)) + 1.0::DOUBLE) AS raw FROM {terms_cte} JOIN df USING (term)),
 nn AS (SELECT key, sqrt(sum(raw * raw)) AS norm FROM w GROUP BY 1)
 SELECT key, term, round(raw / norm, 9) AS weight FROM w JOIN nn USING (key)"""
 
 
-cte("doc_words", (), "SELECT doc_id AS key, list_transform(regexp_extract_all(lower(text), '[^ \\t\\n\\x0B\\f\\r]+'), lambda x: x) AS ws FROM documents")
+cte("texts", (), "SELECT doc_id AS key, text FROM documents UNION ALL SELECT -1, ''")
+cte("doc_words", ("texts",), "SELECT key, list_transform(regexp_extract_all(lower(text), '[^ \\t\\n\\x0B\\f\\r]+'), lambda x: x) AS ws FROM texts")
 cte("word_tf", ("doc_words",), """
 SELECT key, term, count(*) AS tf FROM (SELECT key, unnest(list_concat(ws, list_transform(range(1, greatest(len(ws), 1)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS term FROM doc_words) GROUP BY 1, 2""")
 
 
-@query("ml_06", with_("word_tf", "").rstrip() + _tfidf_sql("word_tf"))
+@query("ml_06", with_("word_tf", "").rstrip() + _tfidf_sql("word_tf", "texts"))
 def ml_06(spark, sf):
-    d = T.spread(T.table(spark, sf, "documents")).select(F.col("doc_id").alias("key"), "text")
-    out = CO.tfidf(CO.word_counts(d, "key", "text"), "key")
+    """All documents and an empty one, which counts in the idf and has no weight."""
+    empty = spark.range(-1, 0).select(F.col("id").alias("key"), F.lit("").alias("text"))
+    d = T.spread(T.table(spark, sf, "documents")).select(F.col("doc_id").alias("key"), "text").unionByName(empty)
+    out = CO.tfidf(CO.word_terms(d, "key", "text"), "key")
     return out.select("key", "term", F.round("weight", 9).alias("weight"))
 
 
@@ -111,10 +114,10 @@ cte("part_words", ("prepared",), "SELECT ord AS key, unnest(regexp_extract_all(t
 cte("char_tf", ("part_words",), f"SELECT key, term, count(*) AS tf FROM (SELECT key, unnest({_GRAMS}) AS term FROM part_words) GROUP BY 1, 2")
 
 
-@query("ml_07", with_("char_tf", "").rstrip() + _tfidf_sql("char_tf"))
+@query("ml_07", with_("char_tf", "").rstrip() + _tfidf_sql("char_tf", "prepared"))
 def ml_07(spark, sf):
     d = CO.prepare(training(spark, sf)).select(F.col("ord").alias("key"), CO.contract_text().alias("text"))
-    out = CO.tfidf(CO.char_counts(d, "key", "text"), "key")
+    out = CO.tfidf(CO.char_terms(d, "key", "text"), "key")
     return out.select("key", "term", F.round("weight", 9).alias("weight"))
 
 
