@@ -13,14 +13,18 @@ KEY = ("gstin", "number", "doc_date")
 def match_portal(books: DataFrame, portal: DataFrame, tolerance: float = 1.0) -> DataFrame:
     """Full outer match on GSTIN, number and date; values compared within a tolerance.
 
-    Either side may repeat a key, so each key is first summed with a count.
+    Either side may repeat a key, so each key is first summed with a count. A row without a GSTIN, number or date has no identity: it is
+    matched with nothing, and such rows are summed by what they do have, with a status of their own.
     """
     side = lambda df, name: df.groupBy(*KEY).agg(F.sum("value").alias(f"{name}_value"), F.count(F.lit(1)).alias(f"{name}_rows"))
-    both = side(books, "book").join(side(portal, "portal"), list(KEY), "full")
     c = F.col
+    whole = (c("gstin") != "") & (c("number") != "") & c("doc_date").isNotNull()
+    named = F.coalesce(whole, F.lit(False))
+    both = side(books.where(named), "book").join(side(portal.where(named), "portal"), list(KEY), "full")
+    nameless = side(books.where(~named), "book").unionByName(side(portal.where(~named), "portal"), allowMissingColumns=True)
     status = F.when(c("portal_rows").isNull(), "MISSING_IN_PORTAL").when(c("book_rows").isNull(), "MISSING_IN_BOOKS") \
         .when(F.abs(c("book_value") - c("portal_value")) <= F.lit(tolerance), "MATCHED").otherwise("VALUE_MISMATCH")
-    return both.withColumn("match_status", status)
+    return both.withColumn("match_status", status).unionByName(nameless.withColumn("match_status", F.lit("NO_IDENTITY")))
 
 
 def composite_hash(gstin: Column, number: Column, taxable: Column) -> Column:

@@ -74,6 +74,16 @@ def agreement(pairs: DataFrame) -> DataFrame:
                        ((c("agree") / c("n") - c("chance")) / (1 - c("chance"))).alias("kappa"))
 
 
+def class_agreement(pairs: DataFrame) -> DataFrame:
+    """Per label: observed and chance agreement of 'this label or not', and its kappa (null where chance alone gives full agreement)."""
+    c = F.col
+    sides = class_counts(pairs, ()).withColumn("total", F.sum("support").over(W.partitionBy(F.lit(1))))     # one row for each label
+    p, q = c("support").cast("double") / c("total"), c("guessed").cast("double") / c("total")
+    observed = 1.0 - (c("support") + c("guessed") - 2 * c("tp")).cast("double") / c("total")
+    chance = p * q + (1.0 - p) * (1.0 - q)
+    return sides.select("label", c("total").alias("n"), "tp", observed.alias("observed"), chance.alias("chance"), F.when(chance < 1.0, (observed - chance) / (1.0 - chance)).alias("kappa"))
+
+
 def wilson(hits: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     """Lower and upper Wilson bounds of a proportion."""
     p, zz = hits / n, z * z

@@ -406,9 +406,11 @@ def recommended_actions(groups: DataFrame) -> DataFrame:
 
 
 def reviewer_concerns(concerns: DataFrame, f: DataFrame) -> DataFrame:
-    """External reviewer concerns (source_row, concern) kept only where the row exists."""
-    known = f.select(F.col("source_ref"), "ord")
-    return concerns.select(F.col("source_row").alias("source_ref"), F.col("concern")) \
-        .join(known, "source_ref").select("ord", "source_ref", F.lit(29).alias("finding_id"), F.lit("").alias("key"), "concern")
+    """One finding for each existing row that reviewers (source_row, concern) doubt, however often they do."""
+    doubted = concerns.select(F.col("source_row").alias("source_ref")).distinct()
+    return f.select("ord", "source_ref").join(doubted, "source_ref", "left_semi").select("ord", "source_ref", F.lit(29).alias("finding_id"), F.lit("").alias("key"))
 
 
+def with_concerns(found: DataFrame, concerns: DataFrame, f: DataFrame) -> DataFrame:
+    """Findings and reviewer concerns together: a concern is a MEDIUM discrepancy, so status and readiness fall to REVIEW_REQUIRED."""
+    return found.select("ord", "source_ref", "finding_id", "key").unionByName(reviewer_concerns(concerns, f))

@@ -408,10 +408,28 @@ def val_27(spark, sf):
 SELECT source_ref, 'LLM_CLASSIFICATION_CONCERN' AS code FROM features
 WHERE source_ref IN (SELECT 'orders!R' || CAST(2 * o_orderkey AS VARCHAR) FROM orders WHERE o_orderpriority = '1-URGENT')"""))
 def val_28(spark, sf):
-    concerns = T.table(spark, sf, "orders").filter("o_orderpriority = '1-URGENT'").select(
+    return V.reviewer_concerns(_concerns(spark, sf), feats(spark, sf)).select("source_ref", F.lit("LLM_CLASSIFICATION_CONCERN").alias("code"))
+
+
+def _concerns(spark, sf):
+    """Reviewers' doubts, each row named twice."""
+    return T.table(spark, sf, "orders").filter("o_orderpriority = '1-URGENT'").select(
         F.concat(F.lit("orders!R"), (F.col("o_orderkey") * 2).cast("string")).alias("source_row"),
-        F.lit("category may not fit").alias("concern"))
-    return V.reviewer_concerns(concerns, feats(spark, sf)).select("source_ref", F.lit("LLM_CLASSIFICATION_CONCERN").alias("code"))
+        F.explode(F.array(F.lit("category may not fit"), F.lit("narration disagrees"))).alias("concern"))
+
+
+@query("val_28_status", with_("features", """
+SELECT 'LLM_CLASSIFICATION_CONCERN' AS code, 'MEDIUM' AS severity, count(*) AS affected_rows, 'ANALYSIS_COMPLETE' AS status_before, 'REVIEW_REQUIRED' AS status_after
+FROM features WHERE source_ref IN (SELECT 'orders!R' || CAST(2 * o_orderkey AS VARCHAR) FROM orders WHERE o_orderpriority = '1-URGENT') HAVING count(*) > 0"""))
+def val_28_status(spark, sf):
+    """Reviewer concerns as a discrepancy group, and how they alone lower the verdict of books without any other finding."""
+    f = feats(spark, sf)
+    none = V.findings(f, RULES).select("ord", "source_ref", "finding_id", "key").limit(0)
+    groups = V.discrepancies(V.with_concerns(none, _concerns(spark, sf), f), rules=RULES)
+    settled = _calcs(spark, sf).withColumn("status", F.lit("COMPLETE"))
+    before = FI.verdict(f, V.discrepancies(none, rules=RULES), settled).select(F.col("report_status").alias("status_before"))
+    after = FI.verdict(f, groups, settled).select(F.col("report_status").alias("status_after"))
+    return groups.select("code", "severity", "affected_rows").join(F.broadcast(before)).join(F.broadcast(after))      # one row each
 
 
 _NEED_SQL = {5: "invoice_number", 6: "invoice_date", 7: "supplier_gstin", 11: "taxable_value/supply", 19: "gst_rate",

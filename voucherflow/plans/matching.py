@@ -17,7 +17,7 @@ from voucherflow.plans.registry import query
 def _inward(spark, sf):
     f = gst.feats(spark, sf).filter("group = 'inward' AND tax IS NOT NULL")
     return f.select("ord", F.coalesce("supplier_gstin", F.lit("")).alias("gstin"), F.coalesce("invoice_number", F.lit("")).alias("number"),
-                    F.coalesce("invoice_date", F.lit("2000-01-01").cast("date")).alias("doc_date"), F.col("tax").cast("decimal(28,2)").alias("value"))
+                    F.col("invoice_date").alias("doc_date"), F.col("tax").cast("decimal(28,2)").alias("value"))
 
 
 def _portal(rows):
@@ -26,11 +26,14 @@ def _portal(rows):
     return kept.unionByName(extra)
 
 
-cte("inward", ("features",), "SELECT ord, coalesce(supplier_gstin, '') AS gstin, coalesce(invoice_number, '') AS number, coalesce(invoice_date, DATE '2000-01-01') AS doc_date, CAST(tax AS DECIMAL(28,2)) AS value FROM features WHERE grp = 'inward' AND tax IS NOT NULL")
+cte("inward", ("features",), "SELECT ord, coalesce(supplier_gstin, '') AS gstin, coalesce(invoice_number, '') AS number, invoice_date AS doc_date, CAST(tax AS DECIMAL(28,2)) AS value FROM features WHERE grp = 'inward' AND tax IS NOT NULL")
 cte("portal", ("inward",), "SELECT ord, gstin, number, doc_date, CAST(CASE WHEN ord % 9 = 0 THEN value + 10 ELSE value END AS DECIMAL(28,2)) AS value FROM inward WHERE ord % 8 <> 0 UNION ALL SELECT ord, gstin, number || '-X', doc_date, value FROM inward WHERE ord % 50 = 7")
 cte("matched", ("inward", "portal"), """
 SELECT gstin, number, doc_date, b.v AS book_value, p.v AS portal_value, CASE WHEN p.n IS NULL THEN 'MISSING_IN_PORTAL' WHEN b.n IS NULL THEN 'MISSING_IN_BOOKS' WHEN abs(b.v - p.v) <= 1 THEN 'MATCHED' ELSE 'VALUE_MISMATCH' END AS match_status
-FROM (SELECT gstin, number, doc_date, sum(value) AS v, count(*) AS n FROM inward GROUP BY 1, 2, 3) b FULL JOIN (SELECT gstin, number, doc_date, sum(value) AS v, count(*) AS n FROM portal GROUP BY 1, 2, 3) p USING (gstin, number, doc_date)""")
+FROM (SELECT gstin, number, doc_date, sum(value) AS v, count(*) AS n FROM inward WHERE gstin <> '' AND number <> '' AND doc_date IS NOT NULL GROUP BY 1, 2, 3) b
+FULL JOIN (SELECT gstin, number, doc_date, sum(value) AS v, count(*) AS n FROM portal WHERE gstin <> '' AND number <> '' AND doc_date IS NOT NULL GROUP BY 1, 2, 3) p USING (gstin, number, doc_date)
+UNION ALL SELECT gstin, number, doc_date, sum(value), NULL, 'NO_IDENTITY' FROM inward WHERE gstin = '' OR number = '' OR doc_date IS NULL GROUP BY 1, 2, 3
+UNION ALL SELECT gstin, number, doc_date, NULL, sum(value), 'NO_IDENTITY' FROM portal WHERE gstin = '' OR number = '' OR doc_date IS NULL GROUP BY 1, 2, 3""")
 
 
 @query("spc_01", with_("matched", f"SELECT gstin, number, CAST(doc_date AS VARCHAR) AS doc_date, {money('book_value')} AS book_value, {money('portal_value')} AS portal_value, match_status FROM matched"))
@@ -79,6 +82,16 @@ def spc_05(spark, sf):
     return EV._rounded(M.agreement(pairs), "observed", "chance", "kappa")
 
 
+@query("spc_05_class", with_("predictions", """
+SELECT label, CAST(n AS BIGINT) AS n, CAST(tp AS BIGINT) AS tp, round(po, 9) AS observed, round(pe, 9) AS chance, round((po - pe) / (1 - pe), 9) AS kappa FROM (
+ SELECT label, n, tp, 1.0::DOUBLE - (a + b - 2 * tp)::DOUBLE / n AS po, a::DOUBLE / n * (b::DOUBLE / n) + (1.0::DOUBLE - a::DOUBLE / n) * (1.0::DOUBLE - b::DOUBLE / n) AS pe FROM (
+  SELECT label, (SELECT count(*) FROM predictions) AS n, count_if(pred_a = label) AS a, count_if(pred_b = label) AS b, count_if(pred_a = label AND pred_b = label) AS tp
+  FROM predictions, (SELECT DISTINCT label FROM (SELECT pred_a AS label FROM predictions UNION ALL SELECT pred_b FROM predictions)) GROUP BY label))"""))
+def spc_05_class(spark, sf):
+    pairs = CN.predictions(spark, sf).groupBy(F.col("pred_a").alias("actual"), F.col("pred_b").alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
+    return EV._rounded(M.class_agreement(pairs), "observed", "chance", "kappa")
+
+
 @query("spc_06", with_("classes", """
 SELECT model, label, support, round((p + zz / (2 * support) - 1.96::DOUBLE * sqrt(p * (1 - p) / support + zz / (4.0::DOUBLE * support * support))) / (1 + zz / support), 9) AS lo,
  round((p + zz / (2 * support) + 1.96::DOUBLE * sqrt(p * (1 - p) / support + zz / (4.0::DOUBLE * support * support))) / (1 + zz / support), 9) AS hi

@@ -45,13 +45,17 @@ def first_numbers(stream: DataFrame, lateness: str = "7 days") -> DataFrame:
 
 
 def numbered_stream(stream: DataFrame, rules: Rules = Rules(), business_gstin: str | None = None) -> DataFrame:
-    """Duplicate keys of a canonical stream, with the document date as event time."""
+    """Duplicate keys of a canonical stream; event time is the document date, or the time of arrival where a document has none."""
     rows = V.numbered_rows(FE.features(stream, rules, business_gstin))
-    return rows.filter("invoice_date IS NOT NULL").withColumn("at", F.col("invoice_date").cast("timestamp"))
+    return rows.withColumn("at", F.coalesce(F.col("invoice_date").cast("timestamp"), F.current_timestamp()))
 
 
 def duplicate_counts(stream: DataFrame) -> DataFrame:
-    """Running count per duplicate key; state holds one number per key, whatever the key's size."""
+    """Running count per duplicate key; state holds one number per key, whatever the key's size.
+
+    State lives as long as the query: a number may come back after years, and dropping its key would lose that duplicate. Where only
+    repeats within a time matter, `first_numbers` keeps keys for that time and no longer.
+    """
     return stream.groupBy("group", "party", "number").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first_ord"))
 
 
