@@ -10,13 +10,13 @@ from voucherflow.llm.common import checkpoint
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+    least = checkpoint(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")))
     return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """`edges` run from the larger to the smaller node."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    least = checkpoint(edges.groupBy("a").agg(F.min("b").alias("m")))
     moved = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
@@ -24,8 +24,8 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of the edges (a, b), the root being the smallest node of its component; roots have no row.
 
-    Each step joins every node with one row holding its smallest neighbour, so a hub is a skewed join that adaptive execution splits,
-    never a list. It runs until no edge changes; the number of steps grows with the logarithm of the size."""
+    Each step joins every node with one row holding its smallest neighbour. Those rows are written first, so that the join has a shuffle on
+    either side and a hub's rows can be split; they never form a list. It runs until no edge changes; the number of steps grows with the logarithm of the size."""
     now = checkpoint(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     mark = None
     while True:

@@ -279,7 +279,7 @@ def components(docs: DataFrame, words: int = 4, radius: int = 4, blocks: int = 3
     nodes = nodes if extra else nodes.withColumn("fp", F.col("id"))
     roots = graph.components(links(nodes.select("id", *parts), nodes.count(), radius, blocks, reach, sample))
     placed = nodes.select("id", "first").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    least = placed.groupBy("root").agg(F.min("first").alias("least"))
+    least = checkpoint(placed.groupBy("root").agg(F.min("first").alias("least")))     # apart, so that a large component's rows can be split
     by_node = placed.join(least, "root").select("id", "least")
     return prints.join(by_node, "id").select("doc_id", "text_hash", "fp", F.col("least.doc_id").alias("component_id"), (_first() == F.col("least")).alias("is_first"))
 
