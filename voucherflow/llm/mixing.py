@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from voucherflow.llm.common import pieces
 
 MOST_LEAVES = 200_000
-RANGE_ROWS = 50_000
+RANGE_ROWS = 10_000
 
 
 def tokens_of(text) -> Column:
