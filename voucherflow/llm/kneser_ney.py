@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from voucherflow.llm.common import coded_words, map_array, pack, pieces, run_folder, slices, unpack, write_array
 
-SLICE = 16 << 20                # bytes of text made into keys at once
+SLICE = 8 << 20                 # bytes of text made into keys at once
 WORD_BUCKET, PAIR_BUCKET = 48 << 20, 8 << 20    # bytes of text for one bucket
 MOST_BUCKETS = 1 << 20          # then buckets grow instead
 END = xxhash.xxh64_intdigest(b"\n", 42)         # a line feed is in no word
