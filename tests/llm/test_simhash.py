@@ -107,6 +107,30 @@ def test_near_unique_keeps_one_of_each_group(spark):
     assert sorted((r["doc_id"] or -1) for r in kept.collect()) == [-1, 1, 2, 5, 7, 7]
 
 
+def pair_of(rng, shared, one, other):
+    """Two texts of 5-word shingles of their own each: `shared` in both, further ones at the ends."""
+    w = [f"v{rng.randrange(10**9)}" for _ in range(shared + 4)]
+    return [" ".join(w + [f"v{rng.randrange(10**9)}" for _ in range(n)]) for n in (one, other)]
+
+
+@pytest.mark.parametrize(("shared", "one", "other", "near"), [
+    (8, 1, 1, True), (80, 10, 10, True), (320, 40, 40, True), (85, 8, 7, True), (340, 30, 30, True), (90, 5, 5, True), (360, 40, 0, True), (4, 1, 0, True),
+    (80, 11, 10, False), (3, 1, 0, False), (300, 50, 50, False), (280, 60, 60, False)])
+def test_near_unique_links_all_pairs_of_similarity_08_and_no_others(spark, shared, one, other, near):
+    rng = random.Random(shared)
+    rows = [(2 * k + side, t) for k in range(60) for side, t in enumerate(pair_of(rng, shared, one, other))]
+    kept = {r["doc_id"] for r in S.near_unique(docs(spark, rows)).collect()}
+    assert kept == (set(range(0, 120, 2)) if near else set(range(120)))
+
+
+def test_near_unique_compares_candidates_that_share_only_frequent_shingles(spark):
+    rng = random.Random(4)
+    footer = " ".join(f"f{n}" for n in range(104))      # 100 shingles in every text
+    rows = [(n, footer + " " + " ".join(f"v{rng.randrange(10**9)}" for _ in range(30))) for n in range(40)]
+    rows += [(100 + n, rows[n][1] + " new words here") for n in range(40)]
+    assert {r["doc_id"] for r in S.near_unique(docs(spark, rows)).collect()} == set(range(40))
+
+
 def test_graph_of_a_long_chain_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 80)] + [(7, 7)]
     roots = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -284,18 +284,137 @@ def components(docs: DataFrame, words: int = 4, radius: int = 4, blocks: int = 3
     return prints.join(by_node, "id").select("doc_id", "text_hash", "fp", F.col("least.doc_id").alias("component_id"), (_first() == F.col("least")).alias("is_first"))
 
 
-# A link of near_unique: the bits of 256 in which texts of similarity 0.8 differ on average; blocks of each 64 bits.
-NEAR_RADIUS, NEAR_BLOCKS = 39, 5
+# ---- near copies -----------------------------------------------------------
+
+# A link of near_unique: i shared shingles of a and b have i / (a + b - i) >= 0.8 if 9 i >= 4 (a + b), and then differ in at most (a + b) / 9.
+ORDER_SAMPLE, OFTEN = 10_000, 3     # texts that tell frequent shingles, and how many of those hold one
+PARITIES = 256
+
+
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """Sorted distinct shingle hashes; empty for a text without words."""
+    return np.unique(shingle_hashes(text, words))
+
+
+def _frequent(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingles held by OFTEN or more of about ORDER_SAMPLE texts, and how many hold them."""
+    share = min(1.0, ORDER_SAMPLE / max(1, docs.count()))
+
+    def run(batches):
+        for piece in slices(batches, "text"):
+            for text in piece.column("text").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text, words).view(np.int64))], ["shingle"])
+    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).select("text")
+    rows = some.mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN).toPandas()
+    shingle = rows["shingle"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(shingle)
+    return shingle[order], rows["n"].to_numpy(np.int64)[order]
+
+
+def shingle_sets(docs: DataFrame, words: int, often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """doc_id, text_hash, node (hash of the shingle set), size, p0 to p3 (parity of the set's members in each of 256 classes) and prefix.
+
+    The prefix are the first size - ceil(0.8 size) + 1 members, rarest first by `often`, then by hash. Whatever the order, two sets of similarity 0.8 share
+    a member of their prefixes: each shares ceil(0.8 size) members or more, so the first shared one stands in both."""
+    shared = docs.sparkSession.sparkContext.broadcast(often)
+    names = ["doc_id", "text_hash", "node", "size", "p0", "p1", "p2", "p3", "prefix"]
+
+    def run(batches):
+        known, count = shared.value
+        for piece in slices(batches, "text"):
+            node, size, parity, prefix = [], [], [], []
+            for text in piece.column("text").to_pylist():
+                h = shingle_set(text, words)
+                at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
+                n = np.where(known[at] == h, count[at], 0) if len(known) else np.zeros(len(h), np.int64)
+                first = np.argsort(n, kind="stable")[:len(h) - -(-4 * len(h) // 5) + 1]
+                node.append(xxhash.xxh64_intdigest(h.tobytes(), 42)), size.append(len(h)), prefix.append(h[first].view(np.int64))
+                odd = np.bincount((h % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1
+                parity.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+            parity = np.stack(parity)
+            ends = pa.array(np.cumsum([0, *map(len, prefix)]), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [piece.column("doc_id"), piece.column("text_hash"), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(size, pa.int32()),
+                 *(pa.array(np.ascontiguousarray(parity[:, k])) for k in range(4)), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(prefix)))], names)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(
+        run, "doc_id long, text_hash long, node long, size int, p0 long, p1 long, p2 long, p3 long, prefix array<long>")
+
+
+def _may_be_near(x: str, y: str):
+    """What every pair of similarity 0.8 fulfils: sizes within 4 to 5, and no more odd differences than differences."""
+    least, most = F.least(f"{x}.size", f"{y}.size"), F.greatest(f"{x}.size", f"{y}.size")
+    odd = sum((F.bit_count(F.col(f"{x}.p{k}").bitwiseXOR(F.col(f"{y}.p{k}"))) for k in range(1, 4)), F.bit_count(F.col(f"{x}.p0").bitwiseXOR(F.col(f"{y}.p0"))))
+    return (5 * least >= 4 * most) & (9 * odd <= least + most)
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose shingle sets have an exact similarity of 0.8 or more; sets are made again from the texts of `nodes`' first rows."""
+    pairs = checkpoint(pairs)
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    which = nodes.join(wanted, "node").select("node", F.col("first.doc_id").alias("set_id"), F.col("first.text_hash").alias("set_hash"))
+
+    def sets(batches):
+        for piece in slices(batches, "text"):
+            made = [shingle_set(t, words) for t in piece.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([piece.column("node"), pa.array([h.tobytes() for h in made], pa.binary())], ["node", "members"])
+
+    def check(batches):
+        for batch in batches:
+            near = []
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                near.append(9 * len(np.intersect1d(p, q, assume_unique=True)) >= 4 * (len(p) + len(q)))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(near, pa.bool_()))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    texts = texts.join(which, F.col("doc_id").eqNullSafe(F.col("set_id")) & (F.col("text_hash") == F.col("set_hash"))).dropDuplicates(["node"])
+    held = checkpoint(texts.select("node", "text").mapInArrow(sets, "node long, members binary"))
+    both = pairs.join(held.select(F.col("node").alias("a"), F.col("members").alias("x")), "a").join(held.select(F.col("node").alias("b"), F.col("members").alias("y")), "b")
+    return checkpoint(both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"))
+
+
+def near_links(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """Edges (a, b) of similarity 0.8 or more that connect all near copies; `nodes` are the distinct sets of shingle_sets with their first row.
+
+    Sets that share a member of their prefixes are candidates. First each is compared with the smallest node that holds the member, which links a large
+    group by few edges; then all candidates that this left in different components are compared."""
+    facts = ["node", "size", "p0", "p1", "p2", "p3"]
+    held = nodes.select(F.explode("prefix").alias("shingle"), "node")
+    least = held.groupBy("shingle").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").select("shingle", "least")
+    held = checkpoint(held.join(least, "shingle").select("shingle", "node", "least"))
+
+    def candidates(pairs: DataFrame) -> DataFrame:
+        x, y = nodes.select(facts).alias("x"), nodes.select(facts).alias("y")
+        return pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).where(_may_be_near("x", "y")).select("a", "b")
+
+    stars = confirmed(candidates(held.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()), docs, nodes, words)
+    roots = checkpoint(graph.components(stars))
+    rooted = held.select("shingle", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = rooted.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("shingle")
+    left = checkpoint(rooted.join(mixed, "shingle").join(nodes.select(facts), "node"))
+    x, y = left.alias("x"), left.alias("y")
+    crossing = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & _may_be_near("x", "y"))
+    pairs = crossing.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    return stars.unionByName(confirmed(pairs, docs, nodes, words))
+
+
+def near_groups(docs: DataFrame, words: int = 5) -> DataFrame:
+    """doc_id, text_hash, is_first: whether the row is the first of the near copies that it is linked to over any number of steps."""
+    rows = checkpoint(shingle_sets(docs, words, _frequent(docs, words)))
+    nodes = checkpoint(rows.groupBy("node").agg(F.min(_first()).alias("first"), *[F.first(c).alias(c) for c in ("size", "p0", "p1", "p2", "p3", "prefix")]))
+    roots = graph.components(near_links(docs, nodes, words))
+    placed = nodes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = checkpoint(placed.groupBy("root").agg(F.min("first").alias("least")))     # apart, so that a large component's rows can be split
+    by_node = placed.join(least, "root").select("node", "least")
+    return rows.select("doc_id", "text_hash", "node").join(by_node, "node").select("doc_id", "text_hash", (_first() == F.col("least")).alias("is_first"))
 
 
 def near_unique(docs: DataFrame, words: int = 5) -> DataFrame:
     """One row of docs, all columns as they are, for each group of near copies: the row with the smallest doc_id, nulls last.
 
-    Near copies agree in 0.8 or more of their shingles of five words. With a similarity s the angle between two fingerprints has cosine
-    2 s / (1 + s), so at 0.8 they differ in 15 % of the bits: 39 of the 256 bits of four fingerprints. At that distance triangle bounds on wide
-    blocks prune next to nothing, so there are 20 trees on blocks of 12 or 13 bits, searched with radius 0: a pair meets if one block agrees, which
-    at 0.8 fails once in 25 pairs, at 0.85 once in 100 and at 0.9 once in 1,000. Rows equal in doc_id and text are one document, of which one row stays."""
-    found = components(docs, words, NEAR_RADIUS, NEAR_BLOCKS, extra=3, reach=0)
+    Near copies agree in 0.8 or more of their distinct shingles of five words (exact Jaccard, up to equal 64-bit hashes); groups are closed over links. No
+    pair is lost: candidates come from a prefix filter that every such pair passes, and each is checked on the whole sets. Texts without words have the
+    empty set and are one group. Rows equal in doc_id and text are one document, of which one row stays."""
+    found = near_groups(docs, words)
     marks = found.groupBy("doc_id", "text_hash").agg(F.max("is_first").alias("near_first"), F.count("*").alias("near_n")).where("NOT near_first OR near_n > 1")
     marks = marks.withColumnsRenamed({"doc_id": "near_id", "text_hash": "near_hash"})
     own = docs.withColumn("near_own", F.xxhash64("text"))
