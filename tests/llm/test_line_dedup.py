@@ -42,6 +42,36 @@ def test_shared_passages_go_from_the_later_document(spark):
     assert got[70]["text"] == "" and got[70]["n_deleted"] == len(rows[70])
 
 
+def test_a_frequent_block_goes_though_each_of_its_lines_was_elsewhere_first(spark):
+    x, y, z = "x1 x2 x3 x4 x5", "y1 y2 y3 y4 y5", "z1 z2 z3"
+    block = {n: "\n".join([f"own a{n}", x, "", y, z, f"own b{n}"]) for n in range(4, 40)}
+    rows = {1: f"{x}\nalone", 2: f"{y}\nalone too", 3: f"{x}\n\n{y}\nno third line", **block}
+    got = {r["doc_id"]: r["text"] for r in L.dedup(docs(spark, list(rows.items()))).collect()}
+    assert all(got[n] == rows[n] for n in (1, 2, 3))
+    assert got[4] == f"own a4\n{z}\nown b4"
+    assert all(got[n] == f"own a{n}\nown b{n}" for n in range(5, 40))
+
+
+@settings(max_examples=200)
+@given(st.lists(st.integers(0, 3), max_size=12), st.integers(1, 6), st.data())
+def test_runs_cover_every_line_of_a_block(words, least, data):
+    import numpy as np
+    lines = np.arange(1, len(words) + 1) * (np.array(words) > 0)
+    own = np.array(words, np.int64)
+    for i in range(len(words)):
+        for j in range(i + 1, len(words) + 1):
+            if own[i:j].sum() < least:
+                continue
+            inside = L.line_runs(lines[i:j], own[i:j], least)
+            assert inside <= L.line_runs(lines, own, least)
+            covered = {n for n in range(i, j) if own[n] == 0 or own[n] >= least}
+            for a in range(i, j):
+                for b in range(a + 2, j + 1):
+                    if L.xxhash.xxh64_intdigest(lines[a:b].tobytes(), 42) in inside:
+                        covered |= set(range(a, b))
+            assert covered == set(range(i, j))
+
+
 def test_frequent_lines_need_no_pairs_among_all_holders(spark):
     documents = L.with_lines(docs(spark, [(n, "a line that very many documents share") for n in range(40)])).withColumnRenamed("doc_id", "key")
     assert {tuple(r) for r in L.pairs(documents.select("key", "lines"), rare=8).collect()} == {(0, n) for n in range(1, 40)}

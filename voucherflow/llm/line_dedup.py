@@ -2,8 +2,9 @@
 
 A line is what stands between line feeds; its hash is of the trimmed text, and blank lines have none. Documents are ordered by doc_id (nulls
 last, then by text hash). A line in 2 to RARE documents pairs each holder with every earlier one, at most RARE * (RARE - 1) / 2 pairs. A more
-frequent line pairs each holder with the first one only, so every later copy still meets a holder that comes before it and the
-pairs stay in proportion to the lines. Exact copies meet the first copy just as well.
+frequent line pairs each holder with the first one only, so that pairs stay in proportion to the lines. As that one may hold the line alone, each document is also paired with
+the first holder of each of its runs: adjacent lines, from each line forward and from each backward, just enough for MIN_WORDS words. Every line of a block that an earlier
+document has too is in such a run inside the block, so it meets an earlier holder of that run. Exact copies meet the first copy just as well.
 
 A pair is aligned on arrays of line hashes: lines that occur once in both anchor the alignment by the longest increasing subsequence (patience), the stretches between anchors are
 aligned in turn, and runs of equal lines around anchors extend them; where no line is unique, equal heads and tails are matched. A common block is a run of aligned lines
@@ -18,6 +19,7 @@ from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,15 +39,44 @@ def with_lines(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "text_hash", hashes.alias("lines"), words.cast("array<int>").alias("words"))
 
 
-def pairs(documents: DataFrame, rare: int = RARE) -> DataFrame:
-    """(a, b), a before b, for documents with key and lines."""
+def pairs(documents: DataFrame, rare: int = RARE, min_words: int = MIN_WORDS) -> DataFrame:
+    """(a, b), a before b, for documents with key and lines; with their words also the pairs of runs."""
     held = documents.select("key", F.explode(F.array_distinct("lines")).alias("line")).where("line <> 0")
     facts = held.groupBy("line").agg(F.count("*").alias("n"), F.min("key").alias("first")).where("n > 1")
     # Frequent and rare lines are joined apart: the first join has no grouping behind it, so a very frequent line's rows can be split.
     often = held.join(facts.where(F.col("n") > rare), "line").where(F.col("key") > F.col("first")).select(F.col("first").alias("a"), F.col("key").alias("b"))
     few = held.join(facts.where(F.col("n") <= rare), "line", "left_semi").groupBy("line").agg(F.sort_array(F.collect_list("key")).alias("keys"))     # at most `rare` keys
     each = few.select(F.posexplode("keys").alias("at", "b"), "keys").select(F.explode(F.slice("keys", 1, F.col("at"))).alias("a"), "b")
-    return each.unionByName(often).distinct()
+    found = each.unionByName(often)
+    return (found.unionByName(run_pairs(documents, min_words)) if "words" in documents.columns else found).distinct()
+
+
+def line_runs(lines: np.ndarray, words: np.ndarray, min_words: int) -> set[int]:
+    """Hashes of the runs of two or more lines that reach `min_words` first, forward and backward from each line that is not blank."""
+    total, out = np.r_[0, np.cumsum(words)], set()
+    at = np.flatnonzero(words)
+    ends, starts = np.searchsorted(total, total[at] + min_words), np.searchsorted(total, total[at + 1] - min_words, side="right") - 1
+    for first, last in {*zip(at.tolist(), ends.tolist(), strict=True), *zip(starts.tolist(), (at + 1).tolist(), strict=True)}:
+        if 0 <= first and last < len(total) and last - first > 1:
+            out.add(xxhash.xxh64_intdigest(lines[first:last].tobytes(), 42))
+    return out
+
+
+def run_pairs(documents: DataFrame, min_words: int) -> DataFrame:
+    """(a, b): each document b with the first holder a of each of its runs; a single line of enough words is paired as a line."""
+    kind = dict(documents.dtypes)["key"]
+
+    def run(batches):
+        for batch in batches:
+            which, runs = [], []
+            for n, (lines, words) in enumerate(zip(batch.column("lines"), batch.column("words"), strict=True)):
+                got = sorted(line_runs(lines.values.to_numpy(), words.values.to_numpy().astype(np.int64), min_words))
+                which += [n] * len(got)
+                runs += got
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(which, pa.int64())), pa.array(np.array(runs, np.uint64).view(np.int64))], ["key", "run"])
+    held = documents.select("key", "lines", "words").mapInArrow(run, f"key {kind}, run long")
+    first = held.groupBy("run").agg(F.count("*").alias("n"), F.min("key").alias("first")).where("n > 1")
+    return held.join(first, "run").where(F.col("key") > F.col("first")).select(F.col("first").alias("a"), F.col("key").alias("b"))
 
 
 # ---- alignment -------------------------------------------------------------
@@ -137,7 +168,7 @@ def dedup(docs: DataFrame, rare: int = RARE, min_words: int = MIN_WORDS) -> Data
     key = F.struct(F.col("doc_id").isNull().alias("late"), F.coalesce("doc_id", F.lit(0)).alias("id"), "text_hash")
     documents = with_lines(docs).withColumn("key", key).dropDuplicates(["key"])
     documents = checkpoint(documents.where(F.exists("lines", lambda x: x != 0)).select("key", "lines", "words"))
-    gone = deletions(documents, pairs(documents, rare), min_words)
+    gone = deletions(documents, pairs(documents, rare, min_words), min_words)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("key", key)
     joined = rows.join(gone, "key", "left")
     lines = F.split("text", "\n", -1)
