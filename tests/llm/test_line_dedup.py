@@ -72,6 +72,31 @@ def test_runs_cover_every_line_of_a_block(words, least, data):
             assert covered == set(range(i, j))
 
 
+def test_a_passage_repeated_in_the_first_holder_goes_from_later_documents(spark):
+    r = random.Random(8)
+    passage = [line(r) for _ in range(3)]
+    rows = {0: ["u u", *passage, "v v", *passage, "w w"], **{n: [f"s{n}", *passage, f"t{n}"] for n in range(1, 12)}}
+    got = {x["doc_id"]: x["text"] for x in L.dedup(docs(spark, [(n, "\n".join(v)) for n, v in rows.items()])).collect()}
+    assert got[0] == "\n".join(rows[0]) and all(got[n] == f"s{n}\nt{n}" for n in range(1, 12))
+
+
+@settings(max_examples=200)
+@given(st.lists(st.integers(1, 4), max_size=20), st.lists(st.integers(1, 4), max_size=20), st.sampled_from([1, 30, 1 << 28]))
+def test_a_stretch_without_anchors_is_aligned_exactly(a, b, bits):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for n, y in enumerate(b, 1):
+            last, row[n] = row[n], last + 1 if x == y else max(row[n], row[n - 1])
+    kept, L.TABLE_BITS = L.TABLE_BITS, bits
+    try:
+        got = sorted(L.longest(a, 0, len(a), b, 0, len(b)))
+    finally:
+        L.TABLE_BITS = kept
+    assert len(got) == row[-1] and all(a[i] == b[j] for i, j in got)
+    assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(got, got[1:], strict=False))
+
+
 def test_frequent_lines_need_no_pairs_among_all_holders(spark):
     documents = L.with_lines(docs(spark, [(n, "a line that very many documents share") for n in range(40)])).withColumnRenamed("doc_id", "key")
     assert {tuple(r) for r in L.pairs(documents.select("key", "lines"), rare=8).collect()} == {(0, n) for n in range(1, 40)}

@@ -7,7 +7,7 @@ the first holder of each of its runs: adjacent lines, from each line forward and
 document has too is in such a run inside the block, so it meets an earlier holder of that run. Exact copies meet the first copy just as well.
 
 A pair is aligned on arrays of line hashes: lines that occur once in both anchor the alignment by the longest increasing subsequence (patience), the stretches between anchors are
-aligned in turn, and runs of equal lines around anchors extend them; where no line is unique, equal heads and tails are matched. A common block is a run of aligned lines
+aligned in turn, and runs of equal lines around anchors extend them; a stretch without such a line is aligned by an exact longest common subsequence. A common block is a run of aligned lines
 without a gap in either document. Blocks of at least MIN_WORDS words are deleted from the later document. Deletions of all its pairs add up.
 
 Rows: null and empty texts have no line and stay as they are; rows equal in doc_id and text are one document and share its fate. An empty table gives no rows; texts are taken whole. Only doc_id and text are read.
@@ -99,10 +99,65 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
         for (x, y), (u, v) in zip([(a0 - 1, b0 - 1), *anchors], [*anchors, (a1, b1)], strict=True):
             if anchors:
                 todo.append((x + 1, u, y + 1, v))
-        out += anchors
+        out += anchors or longest(a, a0, a1, b, b0, b1)
     return sorted(out)
 
 
+TABLE_BITS = 1 << 28        # rows of bits that an exact alignment holds at once; a larger stretch is halved
+
+
+def longest(a: list[int], a0: int, a1: int, b: list[int], b0: int, b1: int) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence of a[a0:a1] and b[b0:b1]; of equally long ones, that which takes the last equal lines."""
+    both = set(a[a0:a1]) & set(b[b0:b1])
+    out, todo = [], [([i for i in range(a0, a1) if a[i] in both], [j for j in range(b0, b1) if b[j] in both])]
+    while todo:
+        x, y = todo.pop()
+        if not x or not y:
+            continue
+        if len(x) * len(y) > TABLE_BITS and len(x) > 1:     # split b where the halves of a have the most in common with its two parts
+            half = len(x) // 2
+            head = _lengths([a[i] for i in x[:half]], [b[j] for j in y])
+            tail = _lengths([a[i] for i in x[half:][::-1]], [b[j] for j in y[::-1]])[::-1]
+            cut = int(np.argmax(head + tail))
+            todo += [(x[:half], y[:cut]), (x[half:], y[cut:])]
+            continue
+        rows = _bit_rows([a[i] for i in x], [b[j] for j in y])
+        i, j = len(x), len(y)
+        while i and j:
+            if a[x[i - 1]] == b[y[j - 1]]:
+                i, j = i - 1, j - 1
+                out.append((x[i], y[j]))
+            elif rows[i] >> (j - 1) & 1:        # no longer with b's line than without
+                j -= 1
+            else:
+                i -= 1
+    return out
+
+
+def _bit_rows(a: list[int], b: list[int], last: bool = False) -> list[int]:
+    """Row i has a zero bit j where line j of b makes the longest common subsequence with a[:i] longer; only the last row if asked."""
+    where: dict[int, int] = {}
+    for j, x in enumerate(b):
+        where[x] = where.get(x, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    v, rows = full, [full]
+    for x in a:
+        u = v & where.get(x, 0)
+        v = ((v + u) | (v - u)) & full
+        if last:
+            rows[0] = v
+        else:
+            rows.append(v)
+    return rows
+
+
+def _lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """Length of the longest common subsequence of a with each head of b, the empty one first."""
+    v = _bit_rows(a, b, last=True)[-1]
+    bits = np.unpackbits(np.frombuffer(v.to_bytes(-(-len(b) // 8), "little"), np.uint8), bitorder="little")[:len(b)]
+    return np.r_[0, np.cumsum(1 - bits.astype(np.int64))]
+
+
 def _anchors(a, a0, a1, b, b0, b1) -> list[tuple[int, int]]:
     where, twice = {}, set()
     for i in range(a0, a1):
