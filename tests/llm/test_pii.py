@@ -85,3 +85,11 @@ def test_random_cards_need_their_checksum():
     for _ in range(200):
         d = "".join(r.choice("0123456789") for _ in range(16))
         assert (kinds(f"x {d} y") == ["card"]) == P.luhn(d)
+
+
+@pytest.mark.parametrize(("text", "found"), [
+    ("ES91 2100 0418 4502 0005 1332 BIC", ["ES91 2100 0418 4502 0005 1332"]), ("ES9121000418450200051332 EUR", ["ES9121000418450200051332"]),
+    ("AT611904300234573201 BANK", ["AT611904300234573201"]), ("AB12 CDEF AT611904300234573201 BANK", ["AT611904300234573201"]),
+    ("AT611904300234573201 DE89 3704 0044 0532 0130 00", ["AT611904300234573201", "DE89 3704 0044 0532 0130 00"]), ("AT611904300234573202 BANK", [])])
+def test_a_word_after_an_iban_does_not_hide_it(text, found):
+    assert [text[a:b] for a, b in P.ibans(text)] == found

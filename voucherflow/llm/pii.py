@@ -113,10 +113,21 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 _DIGIT = re.compile("[0-9]")
 
 
+def ibans(text: str):
+    """Spans that pass mod-97, left to right, each as long as it can be; a match that fails is tried again up to each of its spaces, as it may hold words that follow."""
+    m = IBAN.search(text)
+    while m:
+        ends = [m.end(), *(k for k in range(m.end() - 1, m.start(), -1) if text[k] == " ")]
+        end = next((e for e in ends if IBAN.fullmatch(text, m.start(), e) and mod97(text[m.start():e].replace(" ", ""))), None)
+        if end:
+            yield m.start(), end
+        m = IBAN.search(text, end or m.start() + 1)
+
+
 def further_spans(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str, float]]:
     if not _DIGIT.search(text):
         return []
-    found = [(m.start(), m.end(), "iban") for m in IBAN.finditer(text) if mod97(m[0].replace(" ", ""))]
+    found = [(a, b, "iban") for a, b in ibans(text)]
     if "-" in text:
         found += [(m.start(), m.end(), "ssn") for m in SSN.finditer(text)]
     found += [(m.start(), m.end(), "local_phone") for m in LOCAL_PHONE.finditer(text)]
