@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voucherflow.llm import chat, decontaminate, kneser_ney, language, line_dedup, mixing, pii, sharding, simhash, topk
+from voucherflow.llm import chat, decontaminate, kneser_ney, language, line_dedup, mixing, pii, sharding, simhash, topk, url_filter
 from voucherflow.llm.common import crc_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,20 @@ def op7(spark, folder):
     """Every document without the line blocks that it shares with an earlier one."""
     cleaned = line_dedup.dedup(table(spark, folder, "documents"))
     return cleaned.select("doc_id", "n_lines", "n_deleted", F.length("text").alias("kept_chars"), F.sha2(F.col("text"), 256).alias("kept_sha256"))
+
+
+URL_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
+
+
+@query("op13_url_rules", f"""
+WITH rules(rule_host, rule_path, said) AS (VALUES {", ".join(map(str, URL_RULES))}),
+cut AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+placed AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{url_filter.UPPER}', '{url_filter.LOWER}') AS host,
+                  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, row_number() OVER () AS n FROM cut),
+fits AS (SELECT n, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule, arg_max(said, length(rule_host || rule_path)) AS said
+         FROM placed JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY n)
+SELECT page_id, host, path, rule, coalesce(said, 'allow') AS verdict FROM placed LEFT JOIN fits USING (n)""")
+def op13(spark, folder):
+    """The verdict of five rules on every page's URL."""
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filter.judge(table(spark, folder, "pages").select("page_id", "url"), rules).select("page.page_id", "host", "path", "rule", "verdict")
