@@ -26,6 +26,12 @@ def run_folder(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def remove_folder(spark: SparkSession, uri: str) -> None:
+    """Remove an intermediate table that no later step reads; Spark's own file system client does it on any store."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """The rows of `df` written to shared storage, so that nothing upstream runs again."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voucherflow.llm import chat, decontaminate, kneser_ney, language, line_dedup, mixing, pii, sharding, simhash, topk, url_filter
+from voucherflow.llm import chat, collocations, decontaminate, kneser_ney, language, line_dedup, mixing, pii, sharding, simhash, topk, url_filter, vector_codes
 from voucherflow.llm.common import crc_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +123,54 @@ def op13(spark, folder):
     """The verdict of five rules on every page's URL."""
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filter.judge(table(spark, folder, "pages").select("page_id", "url"), rules).select("page.page_id", "host", "path", "rule", "verdict")
+
+
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096) -> str:
+    """Six rounds written out: nearest entries by a window over all distances, then floored means."""
+    steps = [f"""
+kept AS (SELECT row_number() OVER () AS n, vec_id, label, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+         WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+cut AS (SELECT n, p, v[p * (len(v) // {parts}) + 1:(p + 1) * (len(v) // {parts})] AS x FROM kept, range({parts}) r(p)),
+starts AS (SELECT n, row_number() OVER (ORDER BY vec_id, v) - 1 AS e FROM kept QUALIFY e < {entries}),
+book0 AS (SELECT p, e, x AS c FROM cut JOIN starts USING (n))"""]
+    for k in range(rounds + 1):
+        steps.append(f"""
+near{k} AS (SELECT n, p, x, arg_min(e, d * {entries} + e) AS e, min(d) AS d FROM (
+              SELECT n, p, x, e, CAST(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM cut JOIN book{k} USING (p)) GROUP BY n, p, x)""")
+        if k < rounds:
+            steps.append(f"""
+mean{k} AS (SELECT p, e, list(m ORDER BY i) AS c FROM (SELECT p, e, i, CAST((sum(y) - ((sum(y) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS m
+              FROM (SELECT p, e, unnest(x) AS y, unnest(range(len(x))) AS i FROM near{k}) GROUP BY p, e, i) GROUP BY p, e),
+book{k + 1} AS (SELECT p, e, coalesce(mean{k}.c, book{k}.c) AS c FROM book{k} LEFT JOIN mean{k} USING (p, e))""")
+    return "WITH " + ",".join(steps) + f""",
+coded AS (SELECT n, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM near{rounds} GROUP BY n),
+digest AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded JOIN kept USING (n), digest"""
+
+
+@query("op11_bounded_codes", _codes_sql())
+def op11(spark, folder):
+    """The 8-part code of every vector after six rounds, its error and that of its label."""
+    codes = vector_codes.compress(table(spark, folder, "embeddings"), "embedding", "label")
+    return vector_codes.with_label_error(codes.rows).select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(codes.sha256()).alias("codebooks_sha256"))
+
+
+@query("op12_collocations", r"""
+WITH split AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+runs AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM split),
+grams AS (SELECT lang, size, list_aggregate(w[i:i + size - 1], 'string_agg', ' ') AS phrase
+          FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM runs, range(1, 6) s(size) WHERE len(w) >= size)),
+counts AS (SELECT lang, size, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 100),
+totals AS (SELECT lang, sum(len(w)) AS n FROM runs GROUP BY lang),
+cuts AS (SELECT lang, phrase, size, f AS a, k, array_to_string(string_split(phrase, ' ')[1:k], ' ') AS head, array_to_string(string_split(phrase, ' ')[k + 1:size], ' ') AS tail
+         FROM (SELECT *, unnest(range(1, size)) AS k FROM counts WHERE size > 1)),
+cut_scores AS (SELECT c.lang, c.phrase, c.size, c.a, c.k, l.f AS l, r.f AS r, CAST(t.n AS BIGINT) AS n,
+                      CAST((CAST(1000 AS HUGEINT) * c.a * t.n) // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+               FROM cuts c JOIN counts l ON l.lang = c.lang AND l.phrase = c.head JOIN counts r ON r.lang = c.lang AND r.phrase = c.tail JOIN totals t ON t.lang = c.lang),
+lowest AS (SELECT * FROM cut_scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_ones AS (SELECT DISTINCT s.lang, s.phrase FROM counts s JOIN counts b ON s.lang = b.lang AND b.size > s.size AND s.size > 1 AND 100 * b.f >= 100 * s.f AND contains(' ' || b.phrase || ' ', ' ' || s.phrase || ' '))
+SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS INTEGER) AS "rank", phrase, a, l, r, n, score
+FROM lowest ANTI JOIN inner_ones USING (lang, phrase) QUALIFY "rank" <= 2000""")
+def op12(spark, folder):
+    """The 2,000 phrases of 2 to 5 words that hold together best in each language, of those that occur 100 times or more."""
+    return collocations.collocations(table(spark, folder, "documents"), threshold=100, longest=5, top=2000)
