@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 
 from tests.llm.helpers import awkward, docs
 from voucherflow.llm import collocations as C
+from voucherflow.llm import common
 
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -87,19 +88,19 @@ def test_merged_summaries_keep_their_bound(tasks, capacity, parts):
             keys, n = np.unique(np.array(items[a:a + 5], np.uint64) << np.uint64(58), return_counts=True)
             held.add(keys, n)
             held.settle()
-            assert not len(held.keys) or np.bincount(C._spread(held.keys, parts)).max() <= capacity
+            assert not len(held.keys) or np.bincount(C.dealt(held.keys, parts)).max() <= capacity
         true.update(int(i) << 58 for i in items), merged.update(dict(zip(held.keys.tolist(), held.counts.tolist(), strict=True)))
         lost.update(held.lost)
     mass = Counter()
     for k, n in true.items():
-        mass[int(C._spread(np.array([k], np.uint64), parts)[0])] += n
+        mass[int(C.dealt(np.array([k], np.uint64), parts)[0])] += n
     for k, n in true.items():
-        p = int(C._spread(np.array([k], np.uint64), parts)[0])
+        p = int(C.dealt(np.array([k], np.uint64), parts)[0])
         assert n - lost[p] <= merged[k] <= n and lost[p] <= mass[p] / (capacity + 1)
 
 
 def test_sets_of_many_files(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(C, "ARRAY_KEYS", 7)
+    monkeypatch.setattr(common, "ARRAY_KEYS", 7)
     keys = np.random.default_rng(3).integers(0, 1 << 64, 100, np.uint64)
-    held = C.store(spark.createDataFrame([(int(k),) for k in keys.view(np.int64)], "key long"), str(tmp_path))
+    held = C.store_keys(spark.createDataFrame([(int(k),) for k in keys.view(np.int64)], "key long"), str(tmp_path))
     assert held.buckets == 15 and held.has(keys).all() and not held.has(keys + np.uint64(1)).any()

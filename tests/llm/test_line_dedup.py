@@ -110,3 +110,41 @@ def test_awkward_rows(spark):
     assert [r["n_deleted"] for r in got if r["doc_id"] == 1] == [0, 0] and [r["text"] for r in got if r["doc_id"] == 6] == [""]
     assert [r["text"] for r in got if r["doc_id"] == 2] == [None]
     assert L.dedup(awkward(spark).where("false")).count() == 0
+
+
+def test_words_are_runs_of_other_characters(spark):
+    """Tabs, runs of spaces and carriage returns are no words: indented code and aligned tables keep their short lines."""
+    short = ["\t" * 8 + "}", "x        =        1", "a \t b\r", "    return  None    ;"]
+    long = "one two\tthree  four five six seven eight"
+    rows = [(n, "\n".join([f"own {n}", *short, f"mine {n}"])) for n in range(3)] + [(10 + n, f"first {n}\n \t{long}{' ' * n}\r\nlast {n}") for n in range(3)]
+    got = {r["doc_id"]: r["text"] for r in L.dedup(docs(spark, rows[:3] + rows[3:])).collect()}
+    words = L.with_lines(docs(spark, [(1, "\n".join([*short, long, " \t\r", ""]))])).first()
+    assert list(words["words"]) == [1, 3, 2, 3, 8, 0, 0] and words["lines"][5] == words["lines"][6] == 0
+    assert got[10] == dict(rows)[10] and got[11] == "first 1\nlast 1" and got[12] == "first 2\nlast 2"
+
+
+def test_short_common_blocks_stay(spark):
+    block = "\t\tif x:\n\t\t\t\t}\n\t\tend"       # four words in three indented lines
+    rows = [(n, f"head {n}\n{block}\ntail {n}") for n in range(5)]
+    assert {r["doc_id"]: r["text"] for r in L.dedup(docs(spark, rows)).collect()} == dict(rows)
+
+
+def test_the_whole_operator_against_all_pairs(spark):
+    """Every later document aligned with every earlier one by brute force; blocks are of lines that a document holds once."""
+    r = random.Random(8)
+    blocks = [[line(r) if r.random() < 0.6 else f"s{r.randrange(10**6)} t" for _ in range(r.randint(1, 5))] for _ in range(25)]
+    rows = []
+    for n in range(70):
+        parts = r.sample(blocks, r.randint(0, 3))
+        text = [x for b in parts for x in [*b, f"own {n} {r.randrange(10**6)}"]]
+        rows.append((n, r.choice(["\n", "\r\n"]).join([f"start {n}", *text])))
+    want = {}
+    lines = [t.split("\n") for _, t in rows]
+    key = [[x.strip(" \t\r") for x in t] for t in lines]
+    for b in range(len(rows)):
+        gone = set()
+        for a in range(b):
+            for first, last in L.common_blocks([hash(x) for x in key[a]], [hash(x) for x in key[b]], [len(x.split()) for x in key[b]], L.MIN_WORDS):
+                gone |= set(range(first, last + 1))
+        want[b] = "\n".join(x for n, x in enumerate(lines[b]) if n not in gone)
+    assert {x["doc_id"]: x["text"] for x in L.dedup(docs(spark, rows)).collect()} == want

@@ -1,5 +1,7 @@
 import hashlib
 import random
+import time
+from bisect import bisect_right
 import re
 
 import pytest
@@ -93,3 +95,20 @@ def test_random_cards_need_their_checksum():
     ("AT611904300234573201 DE89 3704 0044 0532 0130 00", ["AT611904300234573201", "DE89 3704 0044 0532 0130 00"]), ("AT611904300234573202 BANK", [])])
 def test_a_word_after_an_iban_does_not_hide_it(text, found):
     assert [text[a:b] for a, b in P.ibans(text)] == found
+
+
+def test_a_text_of_contacts_takes_time_in_proportion():
+    """Base and further spans side by side, a megabyte of them."""
+    text = "a@b.co 212-555-0147 phone +1 (212) 555-0147, call 212-555-0148 " * 16_000
+    start = time.perf_counter()
+    base, every = P.scan(text)
+    assert len(text) > 1_000_000 and time.perf_counter() - start < 15
+    assert len(base) == 32_000 and len(every) > len(base)
+
+
+@given(st.lists(st.tuples(st.integers(0, 40), st.integers(1, 6)), max_size=12), st.integers(0, 45), st.integers(1, 5))
+def test_overlap_by_bisection(spans, a, n):
+    taken = [(x, x + m, "email") for x, m in spans]
+    starts, ends = P._merged(taken)
+    at = bisect_right(ends, a)
+    assert (at < len(starts) and starts[at] < a + n) == any(x < a + n and a < y for x, y, _ in taken)

@@ -13,10 +13,10 @@ Words are counted exactly. Then pairs, and after them all longer runs at once, t
    partition's mean mass divided by the threshold. Summaries are merged by adding counters in Spark's aggregate, which takes nothing off, and each reports what it
    took off at most; a phrase that is frequent is left with threshold - loss or more. A loss over half of the threshold, which only a very uneven
    dealing could bring about, repeats the pass with twice the partitions. So every frequent phrase survives, whatever the data.
-2. The survivors alone are counted exactly, first inside each piece, then over all.
+2. The survivors alone are counted exactly, first inside each task, then over all.
 Only occurrences that can belong to a frequent phrase enter a summary: pairs of frequent words, and longer runs all of whose pairs are frequent. Frequent words and pairs
 and the survivors are sorted hash arrays in files, cut by hash range, which workers map; nothing is broadcast and no phrase reaches the driver. Hashes tell
-words of a language, and phrases within a piece of text, apart; the counts of pieces are added by the phrase itself.
+words of a language, and phrases within a task, apart; the counts of tasks are added by the phrase itself.
 
 Rows: a null text is empty; blank texts have no phrase; texts are taken whole, a long one in one task; repeated rows and null ids count as
 they occur; an empty table gives no rows. Only text and lang are read, so further columns cannot clash.
@@ -24,8 +24,6 @@ they occur; an empty table gives no rows. Only text and lang are read, so furthe
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -34,14 +32,14 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voucherflow.llm.common import map_array, pieces, run_folder, slices, write_array
+from voucherflow.llm.common import KeySet, dealt, pieces, run_folder, slices, store_keys
 
 CAPACITY = 1 << 16      # counters of a summary
 SLACK = 4
 SLICE = 4 << 20         # bytes of text in one row of codes
-ARRAY_KEYS = 1 << 21    # hashes in one file
 OUT_ROWS = 1 << 16
 WAITING = 1 << 20       # keys that wait before they enter a summary
+HELD = 1 << 19          # phrases that a task counts before it passes them on
 
 _KIND = np.zeros(256, np.uint8)
 _KIND[list(b" \t")], _KIND[list(b".,;:!?\n\x0b\x0c\r")] = 1, 2
@@ -108,48 +106,6 @@ def _encode(batches):
                 ["lang", "n_words", "codes", "words", "counts", "hashes"])
 
 
-# ---- sets of hashes --------------------------------------------------------
-
-class KeySet:
-    """Hashes in sorted files by range, mapped by the workers that look them up."""
-
-    def __init__(self, folder: str, buckets: int, present: frozenset[int]):
-        self.folder, self.buckets, self.present = folder, buckets, present
-
-    def has(self, keys: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(keys), bool)
-        bucket = _spread(keys, self.buckets)
-        for b in np.unique(bucket).tolist() if self.buckets > 1 else [0]:
-            if b in self.present:
-                stored = _mapped(f"{self.folder}/{b}")
-                here = np.flatnonzero(bucket == b) if self.buckets > 1 else slice(None)
-                at = np.minimum(np.searchsorted(stored, keys[here]), len(stored) - 1)
-                out[here] = stored[at] == keys[here]
-        return out
-
-
-@lru_cache(maxsize=1_000)
-def _mapped(uri: str) -> np.ndarray:
-    return map_array(uri, np.uint64)
-
-
-def _spread(keys: np.ndarray, parts: int) -> np.ndarray:
-    """Hash partition of each key, in the order of the keys."""
-    return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-
-
-def store(keys: DataFrame, folder: str) -> KeySet:
-    """The distinct longs of column `key` as a KeySet."""
-    buckets = pieces(keys.count(), ARRAY_KEYS)
-
-    def write(group):
-        b = group.column("bucket")[0].as_py()
-        write_array(f"{folder}/{b}", np.unique(np.asarray(group.column("key").combine_chunks()).view(np.uint64)))
-        return pa.table({"bucket": pa.array([b], pa.int64())})
-    dealt = keys.select(F.expr(f"shiftright(shiftrightunsigned(key, 32) * {buckets}L, 32)").alias("bucket"), "key")
-    return KeySet(folder, buckets, frozenset(r["bucket"] for r in dealt.groupBy("bucket").applyInArrow(write, "bucket long").collect()))
-
-
 # ---- phrases ---------------------------------------------------------------
 
 def _joined(keys: np.ndarray, more: np.ndarray) -> np.ndarray:
@@ -202,7 +158,7 @@ class Summary:
         self.keys, self.counts = keys[at], np.add.reduceat(counts, at) if len(at) else counts
         if len(self.keys) <= self.capacity:
             return
-        part = _spread(self.keys, self.parts)
+        part = dealt(self.keys, self.parts)
         cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
         over = np.flatnonzero(np.diff(np.r_[cut, len(part)]) > self.capacity)
         for n in over.tolist():
@@ -246,9 +202,16 @@ def frequent(encoded: DataFrame, folder: str, words: KeySet, pairs: KeySet | Non
         if loss <= half:
             break
         parts, turn = parts * 2, turn + 1
-    survivors = store(merged.where(f"part < 0 AND n >= {threshold - loss}").select("key"), f"{folder}/survivors")
+    survivors = store_keys(merged.where(f"part < 0 AND n >= {threshold - loss}").select("key"), f"{folder}/survivors")
 
     def count(batches):
+        held: dict[tuple[str, int], dict[int, list]] = {}       # (lang, size): key to [occurrences, phrase]
+
+        def drained():
+            for (lang, size), found in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array([v[1] for v in found.values()], pa.string()), pa.array(np.full(len(found), size, np.int32)),
+                                                  pa.array(np.array(list(found), np.uint64).view(np.int64)), pa.array([v[0] for v in found.values()], pa.int64())], ["lang", "phrase", "size", "key", "a"])
+            held.clear()
         for batch in batches:
             for row in batch.to_pylist():
                 codes, known = None, row["words"]
@@ -256,9 +219,15 @@ def frequent(encoded: DataFrame, folder: str, words: KeySet, pairs: KeySet | Non
                     on = survivors.has(key)
                     key, first, n = np.unique(key[on], return_index=True, return_counts=True)
                     codes = _codes(row["codes"]) if codes is None else codes
-                    text = [" ".join([known[c - 1] for c in codes[s:s + size]]) for s in at[on][first].tolist()]
-                    yield pa.RecordBatch.from_arrays([pa.array([row["lang"]] * len(text), pa.string()), pa.array(text, pa.string()), pa.array(np.full(len(text), size, np.int32)),
-                                                      pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], ["lang", "phrase", "size", "key", "a"])
+                    found = held.setdefault((row["lang"], size), {})
+                    for k, s, more in zip(key.tolist(), at[on][first].tolist(), n.tolist(), strict=True):
+                        if k in found:
+                            found[k][0] += more
+                        else:
+                            found[k] = [more, " ".join([known[c - 1] for c in codes[s:s + size]])]
+                if sum(map(len, held.values())) > HELD:
+                    yield from drained()
+        yield from drained()
     counted = encoded.select("lang", "codes", "words", "hashes").mapInArrow(count, "lang string, phrase string, size int, key long, a long")
     path = f"{folder}/counted"
     counted.groupBy("lang", "phrase", "size").agg(F.sum("a").alias("a"), F.first("key").alias("key")).where(f"a >= {threshold}").write.parquet(path)
@@ -299,12 +268,12 @@ def collocations(docs: DataFrame, threshold: int = 100, longest: int = 5, top: i
     each.groupBy("lang", F.col("words").alias("phrase")).agg(F.sum("counts").alias("a"), F.first("hashes").alias("key")).where(f"a >= {threshold}") \
         .withColumn("size", F.lit(1)).write.parquet(f"{folder}/words")
     known = spark.read.parquet(f"{folder}/words")
-    words = store(known.select("key"), f"{folder}/word-keys")
+    words = store_keys(known.select("key"), f"{folder}/word-keys")
     total = totals.agg(F.sum("n").alias("n")).first()["n"] or 0
     pairs = frequent(encoded, f"{folder}/pairs", words, None, total, threshold, 2, capacity)
     known = known.unionByName(pairs)
     if longest > 2:
         mass = (longest - 2) * (pairs.agg(F.sum("a").alias("n")).first()["n"] or 0)
-        runs = frequent(encoded, f"{folder}/runs", words, store(pairs.select("key"), f"{folder}/pair-keys"), mass, threshold, longest, capacity)
+        runs = frequent(encoded, f"{folder}/runs", words, store_keys(pairs.select("key"), f"{folder}/pair-keys"), mass, threshold, longest, capacity)
         known = known.unionByName(runs)
     return scored(known.select("lang", "phrase", "size", "a"), totals, top)

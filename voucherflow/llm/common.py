@@ -6,6 +6,7 @@ import math
 import os
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 from urllib.parse import unquote, urlparse
 
 import numpy as np
@@ -43,6 +44,12 @@ def crc_of(column: str):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
 
 
+def written(df: DataFrame, uri: str) -> DataFrame:
+    """The rows of `df` written as a table of a run folder; its caller removes it when no later step reads it."""
+    df.write.parquet(uri)
+    return df.sparkSession.read.parquet(uri)
+
+
 # ---- text ------------------------------------------------------------------
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -134,3 +141,49 @@ def map_array(uri: str, dtype) -> np.ndarray:
         with store.open_input_file(inner) as src:
             return np.frombuffer(src.read(), dtype)
     return np.memmap(path, dtype, mode="r") if os.path.getsize(path) else np.empty(0, dtype)
+
+
+# ---- sets of hashes --------------------------------------------------------
+
+ARRAY_KEYS = 1 << 21    # hashes in one file
+
+
+class KeySet:
+    """Hashes in sorted files by range, mapped by the workers that look them up."""
+
+    def __init__(self, folder: str, buckets: int, present: frozenset[int]):
+        self.folder, self.buckets, self.present = folder, buckets, present
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(keys), bool)
+        bucket = dealt(keys, self.buckets)
+        for b in np.unique(bucket).tolist() if self.buckets > 1 else [0]:
+            if b in self.present:
+                stored = mapped(f"{self.folder}/{b}")
+                here = np.flatnonzero(bucket == b) if self.buckets > 1 else slice(None)
+                at = np.minimum(np.searchsorted(stored, keys[here]), len(stored) - 1)
+                out[here] = stored[at] == keys[here]
+        return out
+
+
+@lru_cache(maxsize=1_000)
+def mapped(uri: str) -> np.ndarray:
+    """An array file of hashes, kept mapped by the worker."""
+    return map_array(uri, np.uint64)
+
+
+def dealt(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Hash partition of each key, in the order of the keys."""
+    return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def store_keys(keys: DataFrame, folder: str) -> KeySet:
+    """The distinct longs of column `key` as a KeySet."""
+    buckets = pieces(keys.count(), ARRAY_KEYS)
+
+    def write(group):
+        b = group.column("bucket")[0].as_py()
+        write_array(f"{folder}/{b}", np.unique(np.asarray(group.column("key").combine_chunks()).view(np.uint64)))
+        return pa.table({"bucket": pa.array([b], pa.int64())})
+    ranged = keys.select("key").distinct().select(F.expr(f"shiftright(shiftrightunsigned(key, 32) * {buckets}L, 32)").alias("bucket"), "key")
+    return KeySet(folder, buckets, frozenset(r["bucket"] for r in ranged.groupBy("bucket").applyInArrow(write, "bucket long").collect()))

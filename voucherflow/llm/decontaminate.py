@@ -7,16 +7,16 @@ passage. Benchmark items are cut into passages of up to BLOCK words, half overla
 
 TF-IDF uses document frequencies over all blocks of all documents; a term in over `STOP_SHARE` of the blocks weighs nothing, unless its
 item would keep fewer than MIN_TERMS weighted terms. The right singular vectors of the matrix of all document blocks and the benchmark passages (weighted to
-carry as much energy as the documents) come from a randomised SVD: two products with the matrix and its transpose, summed over
-partitions, and small decompositions on the driver. The cosine in that space is reported with each match. It decides nothing: in a fixed
-number of dimensions even an exact copy of a short item can have a small one. Candidates are instead all pairs of a document passage and a benchmark passage whose shared
-words could pass the checks, whatever their order (`_candidates`), so no pair that the checks confirm is lost, at any number or length
-of items. A candidate is confirmed by the longest common subsequence of words: a share of the
+carry as much energy as the documents) come from a randomised SVD in one pass: one product of the matrix and its transpose with a random start, summed over
+partitions, and small decompositions on the driver. There is a direction for each benchmark passage of a group, up to RANK, so short items are not lost among
+many. Pairs of a document passage and a benchmark passage that share enough weighted terms to pass the checks at all are candidates if their cosine in that space is
+`COSINE` or more; beside it, if the document passage holds all of the RAREST rarest weighted terms of the benchmark passage, which every verbatim copy does,
+whatever its length and the number of items. A candidate is confirmed by the longest common subsequence of words: a share of the
 benchmark passage of `COPY` or more is a copy; from `PARAPHRASE` up it counts if `ANSWER` of the item's answer is there in order too, the answer being its last
 sentence (its last ANSWER_WORDS words if that is longer). Either way the subsequence must hold MIN_TERMS weighted terms, or all the item has.
 
-Items are taken in groups of `ITEMS`, each with its own terms and vectors, so what is held and broadcast is bounded whatever the size of the
-benchmark.
+Texts are read once for each `PACKED_ITEMS` items, whose terms are packed together; the items are then taken in groups of `ITEMS`, each with its own terms and
+vectors, so what is held and broadcast is bounded whatever the size of the benchmark.
 
 Rows: null, empty and letterless texts or items match nothing; repeated items are found each; null or repeated doc_ids are rows like any
 other, one result row for each document row and item; an empty table on either side gives no rows; texts are taken whole. Only
@@ -38,9 +38,11 @@ from voucherflow.llm.language import letter_words
 BLOCK = 48
 STOP_SHARE = 0.02
 MIN_TERMS = 3
-RANK, MORE = 224, 32            # singular vectors kept, and further columns of the random start
+RANK, MORE = 288, 32            # most singular vectors kept, and further columns of the random start
+COSINE = 0.25
+RAREST = 4
 COPY, PARAPHRASE, ANSWER, ANSWER_WORDS = 0.75, 0.5, 0.7, 12
-ITEMS = 1_000
+ITEMS, PACKED_ITEMS = 256, 10_000
 TERM_CHUNK = 512
 COUNTED = 1 << 21       # pairs of a document passage and a benchmark passage whose shared words are counted at a time
 SLICE = 4 << 20         # bytes of text packed together
@@ -55,6 +57,14 @@ class Items:
     answers: list[np.ndarray] = field(default_factory=list)
     terms: dict[str, int] = field(default_factory=dict)
 
+    def narrowed(self, first: int, last: int) -> tuple["Items", np.ndarray]:
+        """The passages from `first` up to `last` with terms numbered among themselves, and the term that each number stands for."""
+        own, index = np.unique(np.concatenate([*self.passages[first:last], *self.answers[first:last]]), return_inverse=True)
+        sizes = [len(x) for x in (*self.passages[first:last], *self.answers[first:last])]
+        parts = np.split(index, np.cumsum(sizes)[:-1])
+        n = last - first
+        return Items(self.ids[first:last], parts[:n], parts[n:]), own
+
 
 def _words(text: str) -> list[str]:
     codes, distinct, _ = letter_words(pa.array([text], pa.string()))
@@ -121,10 +131,16 @@ def _piece(doc_ids, words, terms, places) -> Piece:
     return Piece(doc_ids, number, doc, first[doc] + place // BLOCK, place, int(count.sum()))
 
 
-def _pieces(batches):
+def _pieces(batches, own: np.ndarray | None = None):
+    """The packed pieces; with `own` only those terms, by their places in it."""
     for batch in batches:
         for row in zip(*(batch.column(c).to_pylist() for c in ("doc_ids", "words", "terms", "places")), strict=True):
-            yield _piece(*row)
+            p = _piece(*row)
+            if own is not None:
+                at = np.minimum(np.searchsorted(own, p.terms), len(own) - 1)
+                keep = own[at] == p.terms
+                p.terms, p.doc, p.block, p.place = at[keep], p.doc[keep], p.block[keep], p.place[keep]
+            yield p
 
 
 def frequencies(packed: DataFrame, n_terms: int) -> tuple[np.ndarray, int]:
@@ -172,22 +188,23 @@ def _gram(terms, row, weighted, weight) -> np.ndarray:
     at = np.cumsum(np.r_[True, row[1:] != row[:-1]]) - 1
     order = np.argsort(terms, kind="stable")
     found, sums = _rows(at[order], terms[order], y)
-    out = np.zeros(weighted.shape)
+    out = np.zeros(weighted.shape, weighted.dtype)
     out[found] = weight[found, None] * sums
     return out
 
 
-def _corpus_gram(packed: DataFrame, weight: np.ndarray, basis: np.ndarray) -> np.ndarray:
+def _corpus_gram(packed: DataFrame, own: np.ndarray, weight: np.ndarray, basis: np.ndarray) -> np.ndarray:
     n_terms, width = basis.shape
-    shared = packed.sparkSession.sparkContext.broadcast((weight[:, None] * basis).astype(np.float32))
+    shared = packed.sparkSession.sparkContext.broadcast(((weight[:, None] * basis).astype(np.float32), own))
 
     def run(batches):
-        total = np.zeros((n_terms, width))
-        for p in _pieces(batches):
+        table, own = shared.value
+        total = np.zeros((n_terms, width), np.float32)
+        for p in _pieces(batches, own):
             keep = weight[p.terms] > 0
             if keep.any():
-                total += _gram(p.terms[keep], p.block[keep], shared.value, weight)
-        chunks = [(k, total[a:a + TERM_CHUNK].astype(np.float32).tobytes()) for k, a in enumerate(range(0, n_terms, TERM_CHUNK))]
+                total += _gram(p.terms[keep], p.block[keep], table, weight)
+        chunks = [(k, total[a:a + TERM_CHUNK].tobytes()) for k, a in enumerate(range(0, n_terms, TERM_CHUNK))]
         yield pa.RecordBatch.from_arrays([pa.array([c[0] for c in chunks], pa.int32()), pa.array([c[1] for c in chunks], pa.binary())], ["chunk", "sums"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,27 +225,26 @@ def _corpus_gram(packed: DataFrame, weight: np.ndarray, basis: np.ndarray) -> np
     return out
 
 
-def latent_basis(packed: DataFrame, items: Items, weight: np.ndarray, rank: int = RANK, more: int = MORE) -> np.ndarray:
-    """Leading right singular vectors (terms, rank) of document blocks and benchmark passages together."""
+def latent_basis(packed: DataFrame, items: Items, own: np.ndarray, weight: np.ndarray, rank: int = RANK, more: int = MORE) -> np.ndarray:
+    """Leading right singular vectors (terms, one for each passage up to `rank`) of document blocks and benchmark passages together, from one product."""
     n_terms = len(weight)
+    rank = min(rank, len(items.passages))
     width = min(rank + more, n_terms)
     own_terms = np.concatenate(items.passages)
     own_row = np.repeat(np.arange(len(items.passages)), [len(p) for p in items.passages])
     keep = weight[own_terms] > 0
     own_terms, own_row = own_terms[keep], own_row[keep]
-    basis = np.linalg.qr(np.random.default_rng(3).normal(size=(n_terms, width)))[0]
-    share = 1.0
-    for step in range(2):
-        corpus, own = _corpus_gram(packed, weight, basis), _gram(own_terms, own_row, weight[:, None] * basis, weight)
-        if step == 0:   # the trace of basis' G basis is the energy that each side shows in the random start
-            seen, mine = float(np.sum(basis * corpus)), float(np.sum(basis * own))
-            share = max(1.0, seen / mine) if mine > 0 else 1.0
-        both = corpus + share * own
-        if step == 0:
-            basis = np.linalg.qr(both)[0]
-    value, vector = np.linalg.eigh((basis.T @ both + both.T @ basis) / 2)
-    lead = np.argsort(-value)[:rank]
-    return basis @ vector[:, lead[value[lead] > 1e-9 * max(value.max(), 1e-30)]]
+    start = np.linalg.qr(np.random.default_rng(3).normal(size=(n_terms, width)))[0]
+    corpus, mine = _corpus_gram(packed, own, weight, start), _gram(own_terms, own_row, weight[:, None] * start, weight)
+    # The trace of start' G start is the energy that each side shows in the random start.
+    seen, shown = float(np.sum(start * corpus)), float(np.sum(start * mine))
+    both = corpus + (max(1.0, seen / shown) if shown > 0 else 1.0) * mine
+    # G is close to Y (start' Y)^-1 Y' with Y = G start, whose root has G's singular vectors.
+    core = start.T @ both
+    value, vector = np.linalg.eigh((core + core.T) / 2)
+    good = value > 1e-9 * max(value.max(), 1e-30)
+    left, size, _ = np.linalg.svd(both @ (vector[:, good] / np.sqrt(value[good])), full_matrices=False)
+    return left[:, :rank][:, size[:rank] > 1e-6 * max(size.max(initial=0.0), 1e-30)]
 
 
 # ---- candidates and checks -------------------------------------------------
@@ -267,46 +283,39 @@ class Counts:
         return np.bincount(np.repeat(row, n) * lists + self.which[at], minlength=rows * lists).reshape(rows, lists)
 
 
-def _at_least(share: float, sizes: np.ndarray) -> np.ndarray:
-    """The smallest n with n / size >= share, as the checks compute it."""
-    n = np.floor(share * sizes).astype(np.int64)
-    return n + (n / np.maximum(sizes, 1) < share)
-
-
-def _candidates(row, term, rows, counts, half, most, need, told) -> tuple[np.ndarray, np.ndarray]:
-    """Windows and passages that share enough words in any order for _check to confirm them: a longest common subsequence is never longer than that."""
-    heavy, every, answer = counts
-    lists = len(half)
-    i, k = np.nonzero(heavy(row, term, rows, lists) >= need)       # weighted terms first: they are rare, and few passages go on
-
-    def shared(counts: Counts) -> np.ndarray:
-        used, at = np.unique(i, return_inverse=True)
-        some = np.isin(row, used)
-        return counts(np.searchsorted(used, row[some]), term[some], len(used), lists)[at, k]
-    words = shared(every)
-    good = words >= half[k]
-    i, k, words = i[good], k[good], words[good]
-    good = (words >= most[k]) | (shared(answer) >= told[k])
-    return i[good], k[good]
-
-
-def search(packed: DataFrame, items: Items, weight: np.ndarray, basis: np.ndarray) -> DataFrame:
+def _candidates(row, term, rows, at, places, counts, need, rarest, projected, own) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(window, passage, cosine) of the candidates among windows 0 to `rows`; (row, term) are their distinct terms, (at, places) all of them in order."""
+    heavy, rare = counts
+    i, k = np.nonzero(heavy(row, term, rows, len(need)) >= need)       # weighted terms are rare, so few pairs go on
+    used, which = np.unique(i, return_inverse=True)
+    some = np.isin(at, used)
+    vector = np.zeros((len(used), projected.shape[1]), np.float32)
+    found, sums = _rows(places[some], np.searchsorted(used, at[some]), projected)
+    vector[found] = sums
+    length = np.maximum(np.linalg.norm(vector, axis=1), 1e-12)
+    cosine = np.einsum("nd,nd->n", vector[which], own[k]) / length[which]
+    some = np.isin(row, used)
+    whole = rare(np.searchsorted(used, row[some]), term[some], len(used), len(need))[which, k] == rarest[k]
+    good = (cosine >= COSINE) | whole
+    return i[good], k[good], cosine[good]
+
+
+def search(packed: DataFrame, items: Items, own_terms: np.ndarray, weight: np.ndarray, basis: np.ndarray, df: np.ndarray) -> DataFrame:
     """Confirmed matches: the best passage for each document row and item."""
     projected = (weight[:, None] * basis).astype(np.float32)
     own = np.stack([projected[p].sum(axis=0) for p in items.passages])
-    length = np.linalg.norm(own, axis=1)
-    own = own / np.maximum(length, 1e-12)[:, None]
+    own = own / np.maximum(np.linalg.norm(own, axis=1), 1e-12)[:, None]
     heavy = [p[weight[p] > 0] for p in items.passages]
     need = np.array([min(MIN_TERMS, len(h)) if len(h) else 1 for h in heavy])
-    sizes, replies = (np.array([len(p) for p in x]) for x in (items.passages, items.answers))
-    bounds = _at_least(PARAPHRASE, sizes), _at_least(COPY, sizes), need, _at_least(ANSWER, replies)
-    counts = tuple(Counts(x, len(weight)) for x in (heavy, items.passages, items.answers))
-    shared = packed.sparkSession.sparkContext.broadcast((projected, own, weight, items.ids, items.passages, items.answers, heavy, counts, bounds))
+    rare = [(u := np.unique(h))[np.argsort(df[u], kind="stable")[:RAREST]] for h in heavy]
+    counts = tuple(Counts(x, len(weight)) for x in (heavy, rare))
+    rarest = np.array([len(x) for x in rare])
+    shared = packed.sparkSession.sparkContext.broadcast((projected, own, own_terms, weight, items.ids, items.passages, items.answers, heavy, counts, need, rarest))
 
     def run(batches):
-        projected, own, weight, ids, passages, answers, heavy, counts, bounds = shared.value
-        need, n_terms, step = bounds[2], len(weight), max(1, COUNTED // len(passages))
-        for p in _pieces(batches):
+        projected, own, own_terms, weight, ids, passages, answers, heavy, counts, need, rarest = shared.value
+        n_terms, step = len(weight), max(1, COUNTED // len(passages))
+        for p in _pieces(batches, own_terms):
             best: dict[tuple[int, int], tuple] = {}
             block = np.unique(p.block)
             next_ = np.r_[block[1:] == block[:-1] + 1, False][:len(block)]
@@ -315,16 +324,15 @@ def search(packed: DataFrame, items: Items, weight: np.ndarray, basis: np.ndarra
             for at in range(0, len(block), step):
                 n = last[at:at + step] - first[at:at + step]
                 inside = np.repeat(first[at:at + step] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-                pair = np.unique(np.repeat(np.arange(len(n)), n) * n_terms + p.terms[inside])
-                for i, k in zip(*_candidates(pair // n_terms, pair % n_terms, len(n), counts, *bounds), strict=True):
+                window, term = np.repeat(np.arange(len(n)), n), p.terms[inside]
+                pair = np.unique(window * n_terms + term)
+                for i, k, cosine in zip(*_candidates(pair // n_terms, pair % n_terms, len(n), window, term, counts, need, rarest, projected, own), strict=True):
                     a, b = int(first[at + i]), int(last[at + i])
                     found = _check(p.terms[a:b], weight, passages[k], answers[k], heavy[k], int(need[k]))
                     if found:
                         key = (int(p.doc[a]), ids[k])
                         if key not in best or found[0] > best[key][0]:
-                            vector = projected[p.terms[a:b]].sum(axis=0)
-                            cosine = float(vector @ own[k]) / max(float(np.linalg.norm(vector)), 1e-12)
-                            best[key] = (found[0], found[1], cosine, int(p.place[a]), found[2])
+                            best[key] = (found[0], found[1], float(cosine), int(p.place[a]), found[2])
             out = [(p.doc_ids[d], item, r[3], r[2], r[0], r[1], r[4]) for (d, item), r in best.items()]
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds)], [c.split()[0] for c in MATCHES.split(", ")])
@@ -345,19 +353,34 @@ def _check(window, weight, passage, answer, heavy, need):
     return (share, told, "paraphrase") if told >= ANSWER else None
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, group_items: int = ITEMS) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, group_items: int = ITEMS, packed_items: int = PACKED_ITEMS) -> DataFrame:
     """doc_id, item_id, start_word, cosine, lcs_share, answer_share, kind (copy or paraphrase) of each document row and item that it holds."""
     spark = docs.sparkSession
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull())
-    groups = pieces(rows.count(), group_items)
+    packs = pieces(rows.count(), packed_items)
     out = spark.createDataFrame([], MATCHES)
-    for g in range(groups):
-        part = rows if groups == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == g)
-        items = prepare(sorted(((r["item_id"], r["text"]) for r in part.collect()), key=str))
-        if not items.ids:
+    for g in range(packs):
+        part = rows if packs == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(packs)) == g)
+        texts = sorted(((r["item_id"], r["text"]) for r in part.collect()), key=str)
+        every = prepare(texts)
+        if not every.ids:
             continue
-        packed = checkpoint(packed_terms(docs, items.terms))
-        df, blocks = frequencies(packed, len(items.terms))
-        weight = weights(items, df, blocks)
-        out = out.unionByName(search(packed, items, weight, latent_basis(packed, items, weight)))
+        packed = checkpoint(packed_terms(docs, every.terms))
+        df, blocks = frequencies(packed, len(every.terms))
+        first = 0
+        while first < len(every.ids):
+            last = _group_end(every.ids, first, group_items)
+            items, own = every.narrowed(first, last)
+            weight = weights(items, df[own], blocks)
+            out = out.unionByName(search(packed, items, own, weight, latent_basis(packed, items, own, weight), df[own]))
+            first = last
     return out
+
+
+def _group_end(ids: list, first: int, items: int) -> int:
+    """Where the passages of `items` items from `first` on end; an item's passages stand together."""
+    seen, last = 0, first
+    while last < len(ids) and (seen < items or ids[last] == ids[last - 1]):
+        seen += last == first or ids[last] != ids[last - 1]
+        last += 1
+    return last

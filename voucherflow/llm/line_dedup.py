@@ -1,6 +1,6 @@
 """Line dedup by pairwise alignment: shared rare lines find overlapping documents, patience diff aligns them, and common blocks go from the later one.
 
-A line is what stands between line feeds; its hash is of the trimmed text, and blank lines have none. Documents are ordered by doc_id (nulls
+A line is what stands between line feeds; its hash is of the text without white space (space, 0x09 to 0x0D) at its ends, and blank lines have none; its words are runs of other characters. Documents are ordered by doc_id (nulls
 last, then by text hash). A line in 2 to RARE documents pairs each holder with every earlier one, at most RARE * (RARE - 1) / 2 pairs. A more
 frequent line pairs each holder with the first one only, so that pairs stay in proportion to the lines. As that one may hold the line alone, each document is also paired with
 the first holder of each of its runs: adjacent lines, from each line forward and from each backward, just enough for MIN_WORDS words. Every line of a block that an earlier
@@ -27,15 +27,16 @@ from voucherflow.llm.common import checkpoint
 
 RARE = 8
 MIN_WORDS = 8
+BLANKS = " \t\x0b\x0c\r"      # with the line feed, all that separates words
 
 
 def with_lines(docs: DataFrame) -> DataFrame:
     """One row for each distinct (doc_id, text): key, doc_id, hashes of its lines (0: blank) and words in each."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("text_hash", F.xxhash64("text"))
-    lines = F.transform(F.split("text", "\n", -1), lambda x: F.trim(x))
+    lines = F.transform(F.split("text", "\n", -1), lambda x: F.btrim(x, F.lit(BLANKS)))
     hashes = F.transform(lines, lambda x: F.when(x == "", F.lit(0).cast("long")).otherwise(F.xxhash64(x)))
-    words = F.transform(lines, lambda x: F.when(x == "", F.lit(0)).otherwise(F.length(x) - F.length(F.regexp_replace(x, r"\s+", "")) + 1))
+    words = F.transform(lines, lambda x: F.regexp_count(x, F.lit(r"\S+")))
     return rows.select("doc_id", "text_hash", hashes.alias("lines"), words.cast("array<int>").alias("words"))
 
 

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -124,6 +125,17 @@ def ibans(text: str):
         m = IBAN.search(text, end or m.start() + 1)
 
 
+def _merged(spans: list[tuple[int, int, str]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches that the spans cover, in order and apart."""
+    starts, ends = [], []
+    for a, b, _ in sorted(spans):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a), ends.append(b)
+    return starts, ends
+
+
 def further_spans(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str, float]]:
     if not _DIGIT.search(text):
         return []
@@ -136,9 +148,11 @@ def further_spans(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[in
             digits = digits_of(m[0])
             if len(digits) == 13 and luhn(digits):
                 found.append((m.start(), m.end(), "card13"))
-    out, starts = [], sorted(taken)
+    starts, ends = _merged(taken)
+    out = []
     for a, b, kind in found:
-        if any(x < b and a < y for x, y, _ in starts):
+        at = bisect_right(ends, a)      # the first taken stretch that ends after this span starts
+        if at < len(starts) and starts[at] < b:
             continue
         score = context_score(text, a, b, kind)
         if score >= THRESHOLD:
@@ -189,7 +203,8 @@ def digest(found: DataFrame) -> DataFrame:
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     counts = [count(kind) for kind in BASE]
-    return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+    scores = F.array_join(F.transform("spans", lambda s: s["score"].cast("string")), ",")
+    return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"), scores.alias("scores"))
 
 
 def redact(text: str, spans: list[tuple[int, int, str]]) -> str:

@@ -19,7 +19,9 @@ empty table gives no rows; texts are taken whole. Only doc_id and text are read,
 
 from __future__ import annotations
 
+import math
 from array import array
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voucherflow.llm import graph
-from voucherflow.llm.common import checkpoint, pack, pieces, slices, unpack
+from voucherflow.llm.common import checkpoint, dealt, mapped, pack, pieces, remove_folder, run_folder, slices, store_keys, unpack, write_array, written
 
 SAMPLE = 1 << 16        # fingerprints that shape the trees
 LEAF = 2_000            # members a shard should have
@@ -69,20 +71,13 @@ def _remix(h: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprints(docs: DataFrame, words: int, extra: int = 0) -> DataFrame:
-    """doc_id, text_hash and fp, a long with the fingerprint's bits; `extra` more such longs (w1, w2, ...) from remixed hashes."""
-    names = ["fp", *(f"w{k}" for k in range(1, extra + 1))]
-
+def fingerprints(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, text_hash and fp, a long with the fingerprint's bits."""
     def run(batches):
         for piece in slices(batches, "text"):
-            got = np.zeros((len(names), piece.num_rows), np.uint64)
-            for row, text in enumerate(piece.column("text").to_pylist()):
-                h = shingle_hashes(text, words)
-                got[:, row] = [fingerprint(_remix(h, k)) for k in range(len(names))]
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("text_hash"), *(pa.array(g.view(np.int64)) for g in got)],
-                                             ["doc_id", "text_hash", *names])
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(
-        run, "doc_id long, text_hash long, " + ", ".join(f"{n} long" for n in names))
+            got = np.array([fingerprint(shingle_hashes(text, words)) for text in piece.column("text").to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("text_hash"), pa.array(got.view(np.int64))], ["doc_id", "text_hash", "fp"])
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 # ---- trees -----------------------------------------------------------------
@@ -157,10 +152,10 @@ def bit_blocks(blocks: int) -> list[int]:
 
 # ---- links -----------------------------------------------------------------
 
-def spanning(home: np.ndarray, visit: np.ndarray, radius: int, rows: int = 256) -> tuple[np.ndarray, np.ndarray]:
+def spanning(home: np.ndarray, visit: np.ndarray, radius: int, exact: Callable[[int, int], bool] | None = None, rows: int = 256) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest, as (member, smallest member), of the links between two sets.
 
-    A member is a row (id, fingerprint, further fingerprints); a link needs at most `radius` differing bits over all of them."""
+    A member is a row (id, fingerprint, further fingerprints); a link needs at most `radius` differing bits over all of them, and `exact` of the two ids if given."""
     every = np.unique(np.r_[home[:, 0], visit[:, 0]])
     label = np.arange(len(every))
     hi, vi = np.searchsorted(every, home[:, 0]), np.searchsorted(every, visit[:, 0])
@@ -171,7 +166,10 @@ def spanning(home: np.ndarray, visit: np.ndarray, radius: int, rows: int = 256)
         if home.shape[1] > 3:
             near = np.bitwise_count(home[at + i, 1:] ^ visit[j, 1:]).sum(axis=1, dtype=np.int64) <= radius
             i, j = i[near], j[near]
-        _hook(label, hi[at + i], vi[j])
+        if exact is None:
+            _hook(label, hi[at + i], vi[j])
+        else:
+            _hook_exact(label, hi[at + i], vi[j], lambda x, y: exact(int(every[x]), int(every[y])))
     moved = np.flatnonzero(label != np.arange(len(every)))
     return every[moved], every[label[moved]]
 
@@ -193,7 +191,24 @@ def _hook(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = up
 
 
-def links(nodes: DataFrame, total: int, radius: int, blocks: int, reach: int, sample: int = SAMPLE, leaf: int = LEAF, tile: int = TILE) -> DataFrame:
+def _hook_exact(label: np.ndarray, a: np.ndarray, b: np.ndarray, exact: Callable[[int, int], bool]) -> None:
+    """Merge the labels of those pairs that are linked exactly. Each turn tries one pair for every label on either side, so a group is linked in few turns."""
+    while True:
+        x, y = label[a], label[b]
+        open_ = np.flatnonzero(x != y)
+        if not len(open_):
+            return
+        a, b, x, y = a[open_], b[open_], x[open_], y[open_]
+        pick = np.union1d(np.unique(x, return_index=True)[1], np.unique(y, return_index=True)[1])
+        good = [n for n in pick.tolist() if exact(a[n], b[n])]
+        _hook(label, a[good], b[good])
+        left = np.ones(len(a), bool)
+        left[pick] = False
+        a, b = a[left], b[left]
+
+
+def links(nodes: DataFrame, total: int, radius: int, blocks: int, reach: int, sample: int = SAMPLE, leaf: int = LEAF, tile: int = TILE,
+          exact: Callable[[int, int], bool] | None = None) -> DataFrame:
     """Edges (a, b) between ids that connect linked `nodes` (id, fp and perhaps w1, w2, ...), as spanning forests of tiles.
 
     There is a tree for each of `blocks` blocks of bits of each fingerprint; pairs that agree to `reach` bits in one block at least meet."""
@@ -233,7 +248,7 @@ def links(nodes: DataFrame, total: int, radius: int, blocks: int, reach: int, sa
     def join(group):
         home, visit = ([_unpacked(x, len(columns)) for x in group.column(c).to_pylist() if x is not None] for c in ("home", "visit"))
         home = np.concatenate(home)
-        a, b = spanning(home, np.concatenate(visit) if visit else home, radius)
+        a, b = spanning(home, np.concatenate(visit) if visit else home, radius, exact)
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     packed = nodes.select(columns).mapInArrow(route, "shard long, home binary, visit binary")
@@ -266,18 +281,12 @@ def _first():
     return F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "text_hash")
 
 
-def components(docs: DataFrame, words: int = 4, radius: int = 4, blocks: int = 3, extra: int = 0, reach: int | None = None, sample: int = SAMPLE) -> DataFrame:
+def components(docs: DataFrame, words: int = 4, radius: int = 4, blocks: int = 3, sample: int = SAMPLE) -> DataFrame:
     """doc_id, text_hash, fp (long), component_id: the smallest doc_id reachable through linked fingerprints, is_first: whether the row has the
-    smallest doc_id (then text hash) of its component.
-
-    With `extra` further fingerprints `radius` counts the differing bits of all. The default reach, radius // blocks for one fingerprint, finds every link."""
-    reach = radius // blocks if reach is None else reach
-    prints = fingerprints(docs, words, extra)
-    parts = [c for c in prints.columns if c not in ("doc_id", "text_hash")]
-    prints = checkpoint(prints.withColumn("id", F.xxhash64(*parts) if extra else F.col("fp")))
-    nodes = checkpoint(prints.groupBy("id", *[c for c in parts if extra or c != "fp"]).agg(F.min(_first()).alias("first")))
-    nodes = nodes if extra else nodes.withColumn("fp", F.col("id"))
-    roots = graph.components(links(nodes.select("id", *parts), nodes.count(), radius, blocks, reach, sample))
+    smallest doc_id (then text hash) of its component. With a reach of radius // blocks in some block every link is found."""
+    prints = checkpoint(fingerprints(docs, words).withColumn("id", F.col("fp")))
+    nodes = checkpoint(prints.groupBy("id").agg(F.min(_first()).alias("first"))).withColumn("fp", F.col("id"))
+    roots = graph.components(links(nodes.select("id", "fp"), nodes.count(), radius, blocks, radius // blocks, sample))
     placed = nodes.select("id", "first").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     least = checkpoint(placed.groupBy("root").agg(F.min("first").alias("least")))     # apart, so that a large component's rows can be split
     by_node = placed.join(least, "root").select("id", "least")
@@ -286,9 +295,20 @@ def components(docs: DataFrame, words: int = 4, radius: int = 4, blocks: int = 3
 
 # ---- near copies -----------------------------------------------------------
 
-# A link of near_unique: i shared shingles of a and b have i / (a + b - i) >= 0.8 if 9 i >= 4 (a + b), and then differ in at most (a + b) / 9.
-ORDER_SAMPLE, OFTEN = 10_000, 3     # texts that tell frequent shingles, and how many of those hold one
-PARITIES = 256
+# Two sets of shingles with i members in common are near copies if i / (a + b - i) >= 0.8, that is 9 i >= 4 (a + b).
+NEAR_RADIUS = 72        # of 256 bits; pairs of similarity 0.8 differ in 31 to 48 at the mean, with a deviation of 6
+NEAR_MISS = 0.02        # share of pairs of similarity 0.8 that may agree in no block at all
+NEAR_DIFFER = 0.15      # share of bits in which such pairs differ
+SET_BYTES = 64 << 20    # of one file of shingle sets
+
+
+def near_plan(total: int, leaf: int = LEAF) -> tuple[int, int]:
+    """Fingerprints and blocks of each for `total` sets: blocks long enough that about `leaf` sets agree in one by chance, and so many of them that
+    pairs of similarity 0.8 agree in one or more but for NEAR_MISS of them."""
+    bits = max(10, math.ceil(math.log2(max(1.0, total / leaf))))
+    blocks = max(1, round(64 / bits))
+    agree = (1 - NEAR_DIFFER) ** (64 / blocks)
+    return math.ceil(math.log(NEAR_MISS) / math.log1p(-agree) / blocks), blocks
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
@@ -296,131 +316,121 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     return np.unique(shingle_hashes(text, words))
 
 
-def _frequent(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted shingles held by OFTEN or more of about ORDER_SAMPLE texts, and how many hold them."""
-    share = min(1.0, ORDER_SAMPLE / max(1, docs.count()))
+def row_key():
+    """What stands for a document: its id and text."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text"))
 
-    def run(batches):
-        for piece in slices(batches, "text"):
-            for text in piece.column("text").to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text, words).view(np.int64))], ["shingle"])
-    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).select("text")
-    rows = some.mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN).toPandas()
-    shingle = rows["shingle"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(shingle)
-    return shingle[order], rows["n"].to_numpy(np.int64)[order]
-
-
-def shingle_sets(docs: DataFrame, words: int, often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, text_hash, node (hash of the shingle set), size, p0 to p3 (parity of the set's members in each of 256 classes) and prefix.
 
-    The prefix are the first size - ceil(0.8 size) + 1 members, rarest first by `often`, then by hash. Whatever the order, two sets of similarity 0.8 share
-    a member of their prefixes: each shares ceil(0.8 size) members or more, so the first shared one stands in both."""
-    shared = docs.sparkSession.sparkContext.broadcast(often)
-    names = ["doc_id", "text_hash", "node", "size", "p0", "p1", "p2", "p3", "prefix"]
+def set_prints(docs: DataFrame, words: int, prints: int) -> DataFrame:
+    """doc_id, text_hash, key, node (hash of the shingle set) and the set's fingerprints fp, w1, w2, ..."""
+    names = ["fp", *(f"w{k}" for k in range(1, prints))]
 
     def run(batches):
-        known, count = shared.value
         for piece in slices(batches, "text"):
-            node, size, parity, prefix = [], [], [], []
-            for text in piece.column("text").to_pylist():
+            node, got = np.zeros(piece.num_rows, np.uint64), np.zeros((prints, piece.num_rows), np.uint64)
+            for row, text in enumerate(piece.column("text").to_pylist()):
                 h = shingle_set(text, words)
-                at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
-                n = np.where(known[at] == h, count[at], 0) if len(known) else np.zeros(len(h), np.int64)
-                first = np.argsort(n, kind="stable")[:len(h) - -(-4 * len(h) // 5) + 1]
-                node.append(xxhash.xxh64_intdigest(h.tobytes(), 42)), size.append(len(h)), prefix.append(h[first].view(np.int64))
-                odd = np.bincount((h % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1
-                parity.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
-            parity = np.stack(parity)
-            ends = pa.array(np.cumsum([0, *map(len, prefix)]), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [piece.column("doc_id"), piece.column("text_hash"), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(size, pa.int32()),
-                 *(pa.array(np.ascontiguousarray(parity[:, k])) for k in range(4)), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(prefix)))], names)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(
-        run, "doc_id long, text_hash long, node long, size int, p0 long, p1 long, p2 long, p3 long, prefix array<long>")
-
-
-def _may_be_near(x: str, y: str):
-    """What every pair of similarity 0.8 fulfils: sizes within 4 to 5, and no more odd differences than differences."""
-    least, most = F.least(f"{x}.size", f"{y}.size"), F.greatest(f"{x}.size", f"{y}.size")
-    odd = sum((F.bit_count(F.col(f"{x}.p{k}").bitwiseXOR(F.col(f"{y}.p{k}"))) for k in range(1, 4)), F.bit_count(F.col(f"{x}.p0").bitwiseXOR(F.col(f"{y}.p0"))))
-    return (5 * least >= 4 * most) & (9 * odd <= least + most)
-
-
-def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose shingle sets have an exact similarity of 0.8 or more; sets are made again from the texts of `nodes`' first rows."""
-    pairs = checkpoint(pairs)
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    which = nodes.join(wanted, "node").select("node", F.col("first.doc_id").alias("set_id"), F.col("first.text_hash").alias("set_hash"))
-
-    def sets(batches):
+                node[row] = xxhash.xxh64_intdigest(h.tobytes(), 42)
+                got[:, row] = [fingerprint(_remix(h, k)) for k in range(prints)]
+            yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in ("doc_id", "text_hash", "key")), *(pa.array(x.view(np.int64)) for x in (node, *got))],
+                                             ["doc_id", "text_hash", "key", "node", *names])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), row_key().alias("key"), "text")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, key long, node long, " + ", ".join(f"{n} long" for n in names))
+
+
+class SetStore:
+    """Shingle sets in files by hash range of their node, mapped by the tasks that compare them."""
+
+    def __init__(self, folder: str, buckets: int):
+        self.folder, self.buckets = folder, buckets
+
+    def __getitem__(self, node: int) -> np.ndarray:
+        bucket = int(dealt(np.array([node], np.uint64), self.buckets)[0])
+        nodes, ends, members = (mapped(f"{self.folder}/{bucket}.{c}") for c in ("node", "end", "member"))
+        at = int(np.searchsorted(nodes, np.uint64(node)))
+        return members[int(ends[at - 1]) if at else 0:int(ends[at])]
+
+    def near(self, a: int, b: int) -> bool:
+        """Whether the sets of two nodes have an exact similarity of 0.8 or more."""
+        x, y = self[a], self[b]
+        if 5 * min(len(x), len(y)) < 4 * max(len(x), len(y)):
+            return False
+        return 9 * len(np.intersect1d(x, y, assume_unique=True)) >= 4 * (len(x) + len(y))
+
+
+def store_sets(docs: DataFrame, keys: DataFrame, words: int, folder: str) -> SetStore:
+    """The shingle sets of the documents whose `key` is in keys, made again from their texts, which do not move."""
+    wanted = store_keys(keys, f"{folder}/wanted")
+    size = docs.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
+    buckets = pieces(2 * size, SET_BYTES)
+
+    def make(batches):
+        made: set[int] = set()      # rows equal in id and text are made once in a task
         for piece in slices(batches, "text"):
-            made = [shingle_set(t, words) for t in piece.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([piece.column("node"), pa.array([h.tobytes() for h in made], pa.binary())], ["node", "members"])
-
-    def check(batches):
-        for batch in batches:
-            near = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                near.append(9 * len(np.intersect1d(p, q, assume_unique=True)) >= 4 * (len(p) + len(q)))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(near, pa.bool_()))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    texts = texts.join(which, F.col("doc_id").eqNullSafe(F.col("set_id")) & (F.col("text_hash") == F.col("set_hash"))).dropDuplicates(["node"])
-    held = checkpoint(texts.select("node", "text").mapInArrow(sets, "node long, members binary"))
-    both = pairs.join(held.select(F.col("node").alias("a"), F.col("members").alias("x")), "a").join(held.select(F.col("node").alias("b"), F.col("members").alias("y")), "b")
-    return checkpoint(both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"))
-
-
-def near_links(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """Edges (a, b) of similarity 0.8 or more that connect all near copies; `nodes` are the distinct sets of shingle_sets with their first row.
-
-    Sets that share a member of their prefixes are candidates. First each is compared with the smallest node that holds the member, which links a large
-    group by few edges; then all candidates that this left in different components are compared."""
-    facts = ["node", "size", "p0", "p1", "p2", "p3"]
-    held = nodes.select(F.explode("prefix").alias("shingle"), "node")
-    least = held.groupBy("shingle").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").select("shingle", "least")
-    held = checkpoint(held.join(least, "shingle").select("shingle", "node", "least"))
-
-    def candidates(pairs: DataFrame) -> DataFrame:
-        x, y = nodes.select(facts).alias("x"), nodes.select(facts).alias("y")
-        return pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).where(_may_be_near("x", "y")).select("a", "b")
-
-    stars = confirmed(candidates(held.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()), docs, nodes, words)
-    roots = checkpoint(graph.components(stars))
-    rooted = held.select("shingle", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = rooted.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("shingle")
-    left = checkpoint(rooted.join(mixed, "shingle").join(nodes.select(facts), "node"))
-    x, y = left.alias("x"), left.alias("y")
-    crossing = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & _may_be_near("x", "y"))
-    pairs = crossing.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    return stars.unionByName(confirmed(pairs, docs, nodes, words))
-
-
-def near_groups(docs: DataFrame, words: int = 5) -> DataFrame:
-    """doc_id, text_hash, is_first: whether the row is the first of the near copies that it is linked to over any number of steps."""
-    rows = checkpoint(shingle_sets(docs, words, _frequent(docs, words)))
-    nodes = checkpoint(rows.groupBy("node").agg(F.min(_first()).alias("first"), *[F.first(c).alias(c) for c in ("size", "p0", "p1", "p2", "p3", "prefix")]))
-    roots = graph.components(near_links(docs, nodes, words))
-    placed = nodes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = checkpoint(placed.groupBy("root").agg(F.min("first").alias("least")))     # apart, so that a large component's rows can be split
-    by_node = placed.join(least, "root").select("node", "least")
-    return rows.select("doc_id", "text_hash", "node").join(by_node, "node").select("doc_id", "text_hash", (_first() == F.col("least")).alias("is_first"))
+            key = np.asarray(piece.column("key")).view(np.uint64)
+            rows = [n for n in np.flatnonzero(wanted.has(key)).tolist() if not (int(key[n]) in made or made.add(int(key[n])))]
+            sets = [shingle_set(t, words) for t in piece.column("text").take(pa.array(rows, pa.int64())).to_pylist()]
+            node = np.array([xxhash.xxh64_intdigest(h.tobytes(), 42) for h in sets], np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(dealt(node, buckets)), pa.array(node.view(np.int64)), pa.array([h.tobytes() for h in sets], pa.binary())], ["bucket", "node", "members"])
+
+    def write(group):
+        bucket = group.column("bucket")[0].as_py()
+        node = np.asarray(group.column("node").combine_chunks()).view(np.uint64)
+        node, first = np.unique(node, return_index=True)
+        blobs = group.column("members").take(pa.array(first)).to_pylist()
+        write_array(f"{folder}/{bucket}.node", node)
+        write_array(f"{folder}/{bucket}.end", np.cumsum([len(x) // 8 for x in blobs]).astype(np.uint64))
+        write_array(f"{folder}/{bucket}.member", np.frombuffer(b"".join(blobs), np.uint64))
+        return pa.table({"bucket": pa.array([bucket], pa.int64())})
+    docs.select(row_key().alias("key"), "text").mapInArrow(make, "bucket long, node long, members binary").groupBy("bucket").applyInArrow(write, "bucket long").collect()
+    return SetStore(folder, buckets)
+
+
+def near_edges(docs: DataFrame, nodes: DataFrame, total: int, words: int, blocks: int, folder: str) -> DataFrame:
+    """Edges (a, b) of exact similarity 0.8 or more that connect the near copies among `nodes` (id, key, fp, w1, ...).
+
+    The trees are searched twice: over all fingerprints, which leaves the few nodes with another in reach, and over those with the exact similarity of
+    their sets in place of the distance, once for each pair that its tile has not connected yet."""
+    prints = nodes.drop("key")
+    maybe = written(links(prints, total, NEAR_RADIUS, blocks, 0), f"{folder}/maybe")
+    wanted = written(nodes.join(maybe.select(F.col("a").alias("id")).union(maybe.select("b")).distinct(), "id"), f"{folder}/close")
+    sets = store_sets(docs, wanted.select("key"), words, f"{folder}/sets")
+    return links(wanted.drop("key"), wanted.count(), NEAR_RADIUS, blocks, 0, exact=sets.near)
 
 
 def near_unique(docs: DataFrame, words: int = 5) -> DataFrame:
     """One row of docs, all columns as they are, for each group of near copies: the row with the smallest doc_id, nulls last.
 
-    Near copies agree in 0.8 or more of their distinct shingles of five words (exact Jaccard, up to equal 64-bit hashes); groups are closed over links. No
-    pair is lost: candidates come from a prefix filter that every such pair passes, and each is checked on the whole sets. Texts without words have the
-    empty set and are one group. Rows equal in doc_id and text are one document, of which one row stays."""
-    found = near_groups(docs, words)
-    marks = found.groupBy("doc_id", "text_hash").agg(F.max("is_first").alias("near_first"), F.count("*").alias("near_n")).where("NOT near_first OR near_n > 1")
-    marks = marks.withColumnsRenamed({"doc_id": "near_id", "text_hash": "near_hash"})
-    own = docs.withColumn("near_own", F.xxhash64("text"))
-    both = own.join(marks, F.col("doc_id").cast("long").eqNullSafe(F.col("near_id")) & (F.col("near_own") == F.col("near_hash")), "left")
-    single, several = both.where("near_n IS NULL"), both.where("near_first").dropDuplicates(["doc_id", "near_own"])
-    return single.unionByName(several).select(docs.columns)
+    Near copies agree in 0.8 or more of their distinct shingles of five words (exact Jaccard, up to equal 64-bit hashes); groups are closed over links.
+    Candidates come from vantage-point trees over blocks of the sets' fingerprints, as many as near_plan() gives for their number, and every link is checked
+    on the whole sets, so no wrong link is made; about NEAR_MISS of the pairs at 0.8 itself can be missed, fewer above. Texts without words have the empty set
+    and are one group. Rows equal in doc_id and text are one document, of which one row stays. Only 64-bit keys of rows are shuffled, never texts or
+    further columns; those keep their values whatever their names."""
+    spark, folder = docs.sparkSession, run_folder(docs.sparkSession, "near-copies")
+    prints, blocks = near_plan(docs.count())
+    rows = written(set_prints(docs, words, prints), f"{folder}/prints")
+    names = [c for c in rows.columns if c not in ("doc_id", "text_hash", "key", "node")]
+    first = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "text_hash", "key")
+    nodes = written(rows.groupBy("node").agg(F.min(first).alias("first"), *[F.first(c).alias(c) for c in names]), f"{folder}/nodes")
+    edges = near_edges(docs, nodes.select(F.col("node").alias("id"), F.col("first.key").alias("key"), *names), nodes.count(), words, blocks, folder)
+    roots = graph.components(edges)
+    placed = written(nodes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), f"{folder}/placed")
+    least = written(placed.groupBy("root").agg(F.min("first").alias("least")), f"{folder}/least")    # apart, so that a large component's rows can be split
+    stays = placed.join(least, "root").select("node", F.col("least.key").alias("stays"))
+    marks = written(rows.join(stays, "node").groupBy("key").agg(F.max(F.col("key") == F.col("stays")).alias("stays"), F.count("*").alias("n"))
+                    .where("NOT stays OR n > 1"), f"{folder}/marks")
+    marked = store_keys(marks.select("key"), f"{folder}/marked")
+    several = store_keys(marks.where("stays").select("key"), f"{folder}/several")
+    whole = docs.select(row_key().alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+    def chosen(keys, inside):
+        def run(batches):
+            for batch in batches:
+                yield batch.filter(pa.array(keys.has(np.asarray(batch.column("key")).view(np.uint64)) == inside))
+        return whole.mapInArrow(run, whole.schema)
+    for name in ("prints", "nodes", "maybe", "close", "sets", "placed", "least", "marks"):
+        remove_folder(spark, f"{folder}/{name}")
+    return chosen(marked, False).select("row.*").unionByName(chosen(several, True).dropDuplicates(["key"]).select("row.*"))
 
 
 def hex_of(column: str):
