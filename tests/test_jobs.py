@@ -66,6 +66,52 @@ def test_line_breaks_inside_quotes(spark, tmp_path):
     assert [(r["Invoice No"], r["Narration"], r["source_ref"]) for r in got] == [("1", 'two\nlines and a "quote"', "csv!R2"), ("2", "one", "csv!R3")]
 
 
+def write_csv(path, seed, rows):
+    import csv
+    import random
+    r = random.Random(seed)
+    values = ["plain", "", "two\nlines", 'a ""quote""'.replace('""', '"'), "a, comma", '"', '\n"\n', "x" * 300, "three\n\nlines", 'end"', "é 😀", "5 in pipe"]
+    with open(path, "w", newline="") as f:
+        w = csv.writer(f, lineterminator=r.choice(["\n", "\r\n"]))
+        w.writerow(["Invoice No", "Narration", "Party"])
+        for n in range(rows):
+            w.writerow([n, r.choice(values), r.choice(values)])
+            if r.random() < 0.05:
+                f.write("\n")      # a blank line is no record
+
+
+def test_csv_with_line_breaks_inside_quotes_is_read_in_splits(spark, tmp_path):
+    """Splits that start anywhere, also inside a quoted value, give the rows that the single-task reader gives."""
+    for k in range(4):
+        write_csv(tmp_path / f"f{k}.csv", k, 400)
+    (tmp_path / "g.csv").write_text('Invoice No,Narration,Party\n0,a 5" pipe and 6",ok\n1,"open\n' + "long line\n" * 700 + 'end",z\n2,x,y')
+    whole = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(str(tmp_path))
+    want = sorted((str(r["Invoice No"]), str(r["Narration"]), str(r["Party"])) for r in whole.select("Invoice No", F.replace("Narration", F.lit("\r\n"), F.lit("\n")).alias("Narration"), "Party").collect())
+    for size in ("700", "5000", "134217728"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            rows = readers.read_sheet(spark, str(tmp_path)).collect()
+            splits = spark.read.text(str(tmp_path)).rdd.getNumPartitions()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert splits > 5 or size == "134217728"
+        assert sorted((str(r["Invoice No"]), str(r["Narration"]), str(r["Party"])) for r in rows) == want
+        assert all(r["source_row"] == int(r["Invoice No"]) + 2 for r in rows) and len({r["source_ref"] for r in rows}) == 1603
+
+
+@pytest.mark.parametrize(("line", "before", "after"), [("a,b", False, False), ('"a', False, True), ('"a"', False, False), ('a,"b', False, True), ('5" pipe,"x', False, True), ('5" pipe,x"y', False, False),
+                                                       ('"a""', False, True), ('"a"",', False, True), ("x", True, True), ('x"', True, False), ('x","y', True, True), ('x""', True, True), ('",,"', True, True), (',"",', False, False)])
+def test_what_a_line_leaves_open(line, before, after):
+    assert readers.ends_open(line, before) == after
+
+
+def test_empty_csv_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("")
+    (tmp_path / "b.csv").write_text("Amount\n")
+    assert readers.read_sheet(spark, str(tmp_path / "a.csv")).count() == 0 and readers.read_sheet(spark, str(tmp_path / "b.csv")).columns[0] == "Amount"
+    assert readers.read_sheet(spark, str(tmp_path / "b.csv")).count() == 0
+
+
 def test_two_files_of_one_name_and_two_formats_keep_apart(spark, tmp_path):
     for folder in ("x", "y"):
         (tmp_path / folder).mkdir()

@@ -243,13 +243,14 @@ def training_rows(spark, sf):
                                             F.col("o_totalprice").cast("decimal(18,2)").cast("double").alias("amt"),
                                             F.col("o_orderdate").cast("date").alias("d"))
     p = T.table(spark, sf, "part").select(F.col("p_partkey").alias("pk"), "p_name")
+    parts = max(1, p.count())       # part keys run from zero, so every part is met
     k = F.col("k")
     q = (k % 9 + 1).cast("double")
     price = (k % 40).cast("double") + 0.5
     value = F.when(k % 6 == 0, q * price).otherwise(F.col("amt"))
     rate = T.pick(k % 6, T.RATE_BY_SLOT).cast("double")
     core = T.pick(k % 20, tuple(f"Goods recorded for case {i} by the {c.lower()} desk." for i, c in enumerate(T.CATEGORY_BY_SLOT)))
-    return o.join(p, F.col("pk") == k % 200, "left").select(
+    return o.join(p, F.col("pk") == k % parts, "left").select(
         k.alias("ord"), T.category_at(k).alias("label"), (k % 25).alias("split_group"),
         F.when(k % 5 != 0, F.concat(F.lit("Party "), F.col("cust").cast("string"))).alias("seller_supplier"),
         F.when(k % 5 == 0, F.concat(F.lit("Party "), F.col("cust").cast("string"))).alias("buyer_customer"),
@@ -285,7 +286,7 @@ SELECT k AS ord, ([{_CATS}])[k % 20 + 1] AS label, k % 25 AS split_group,
 FROM (SELECT *, CASE WHEN k % 6 = 0 THEN q * price ELSE amt END AS value, CAST(([0, 5, 12, 18, 28, 17])[k % 6 + 1] AS DOUBLE) AS rate FROM (
  SELECT o_orderkey AS k, o_custkey AS cust, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) AS amt, CAST(o_orderdate AS DATE) AS d,
   CAST(o_orderkey % 9 + 1 AS DOUBLE) AS q, CAST(o_orderkey % 40 AS DOUBLE) + 0.5 AS price FROM orders))
- LEFT JOIN part ON p_partkey = k % 200""")
+ LEFT JOIN part ON p_partkey = k % (SELECT count(*) FROM part)""")
 _TEXT_COLS = ("seller_supplier", "buyer_customer", "invoice_number", "transaction_date", "item_description", "transaction_narration",
               "currency", "payment_method", "payment_status", "return_reason", "debit_credit_info")
 
