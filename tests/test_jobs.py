@@ -188,3 +188,30 @@ def test_late_rows_close_days(spark, tmp_path):
     jobs.run_daily_counts(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     got = {(str(r["day"]), r["n_rows"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {("2024-01-01", 1), ("2024-01-02", 1)}
+
+
+def test_closed_days_and_late_rows(spark, tmp_path):
+    """Every row is in a closed day, in a day still open, or among the late ones."""
+    from voucherflow.streaming import jobs
+    batches = [[("2024-01-01 10:00:00", "a"), ("2024-01-02 10:00:00", "a")], [("2024-01-09 10:00:00", "b"), (None, "a")], [("2024-01-01 23:00:00", "a"), ("2024-01-09 11:00:00", "b"), ("2024-01-08 12:00:00", "a")]]
+    for rows in batches:
+        df = spark.createDataFrame(rows, "ts string, event_type string").withColumn("ts", F.to_timestamp("ts"))
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        jobs.run_closed_days(jobs.file_stream(spark, str(tmp_path / "in"), df), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    got = {(str(r["day"]), r["event_type"], r["n_rows"], r["late"]) for r in jobs.closed_days(spark, str(tmp_path / "out")).collect()}
+    assert got == {("2024-01-01", "a", 1, False), ("2024-01-02", "a", 1, False), ("2024-01-01", "a", 1, True)}
+    ended = jobs.closed_days(spark, str(tmp_path / "out"), ended=True)
+    assert ended.agg(F.sum("n_rows")).first()[0] == 6 and ended.filter("late").count() == 1
+
+
+def test_numbers_expire_after_their_lifetime(spark, tmp_path):
+    """Repeats within the lifetime are found over batches; a key whose time is over leaves the history and starts anew."""
+    from voucherflow.streaming import jobs
+    batches = [[("p", "1", "2024-01-01"), ("p", "2", "2024-01-01")], [("p", "1", "2024-01-20"), ("q", "1", "2024-01-21")], [("p", "1", "2024-02-15"), ("r", "9", "2024-02-15")], [("p", "2", "2024-02-16"), ("q", "1", "2024-03-30")]]
+    for n, rows in enumerate(batches):
+        df = spark.createDataFrame([("outward", p, k, n * 10 + i, at) for i, (p, k, at) in enumerate(rows)], "`group` string, party string, number string, ord long, at string").withColumn("at", F.to_timestamp("at"))
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        jobs.run_recent_duplicates(jobs.file_stream(spark, str(tmp_path / "in"), df), str(tmp_path / "h"), str(tmp_path / "ck"), "30 days").awaitTermination()
+        alive = {(r["party"], r["number"], r["n"]) for r in jobs._Batches(spark, str(tmp_path / "h" / "alive"), jobs.RECENT).at(n).collect()}
+        assert alive == [{("p", "1", 1), ("p", "2", 1)}, {("p", "1", 2), ("p", "2", 1), ("q", "1", 1)}, {("p", "1", 3), ("q", "1", 1), ("r", "9", 1)}, {("q", "1", 1)}][n]
+    assert {(r["party"], r["number"], r["n"]) for r in jobs.recent_duplicates(spark, str(tmp_path / "h")).collect()} == {("p", "1", 3)}

@@ -342,6 +342,28 @@ def discrepancy_samples(f: DataFrame, rules: Rules = Rules(), shown: int = schem
     return ranked.groupBy("code").agg(F.array_sort(F.collect_list(F.struct("ord", "evidence")))["evidence"].alias("samples"))
 
 
+def duplicate_samples(f: DataFrame, shown: int = schema.SAMPLES_SHOWN) -> DataFrame:
+    """(finding_id, key, samples): the first evidence of each duplicate group, one for each of its rows, as `group;number;rows` or `group;date;amount;rows`.
+
+    A key's rows are first those of the party, or party name, that it met first. Rows are ranked within their own group, of which the first `shown` leave a task, and a
+    key keeps the first few of its groups, so nothing but bounded lists is ever gathered."""
+    rows = numbered_rows(f)
+    same = rows.join(same_number_groups(rows), ["group", "party", "number"], "left_semi").withColumns({
+        "finding_id": F.lit(25), "key": F.concat_ws("|", "group", "number"), "within": F.col("party"), "what": F.concat_ws(";", "group", "number")})
+    amount = [F.col("invoice_date").cast("string"), F.col("doc_value").cast("string")]
+    alike = rows.join(lookalike_groups(rows), ["group", "party_name", "invoice_date", "doc_value"], "left_semi").withColumns({
+        "finding_id": F.lit(26), "key": F.concat_ws("|", "group", "party_name", *amount), "within": F.lit(""), "what": F.concat_ws(";", "group", *amount)})
+    columns, by = ["finding_id", "key", "within", "what"], ["finding_id", "key", "within"]
+    both = same.select(*columns, "ord", "source_ref").unionByName(alike.select(*columns, "ord", "source_ref"))
+    ranked = both.withColumn("rn", F.row_number().over(W.partitionBy(*by).orderBy("ord", "source_ref"))).filter(F.col("rn") <= shown)
+    refs = F.array_sort(F.collect_list(F.struct("ord", "source_ref")))
+    groups = ranked.groupBy(*columns).agg(F.min("ord").alias("first_ord"), F.count(F.lit(1)).alias("copies"), refs["source_ref"].alias("refs"))
+    groups = groups.withColumn("rn", F.row_number().over(W.partitionBy("finding_id", "key").orderBy("first_ord", "within"))).filter(F.col("rn") <= shown)
+    one = F.struct("first_ord", "within", "copies", F.concat_ws(";", "what", F.array_join("refs", ",")).alias("evidence"))
+    every = F.flatten(F.transform(F.array_sort(F.collect_list(one)), lambda x: F.array_repeat(x["evidence"], x["copies"].cast("int"))))
+    return groups.groupBy("finding_id", "key").agg(F.slice(every, 1, shown).alias("samples"))
+
+
 def row_findings(found: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """source_ref -> all its findings; bounded by the number of checks, not by the data."""
     words = F.broadcast(catalogue(found.sparkSession, rules).select("finding_id", "code", "severity", "status"))

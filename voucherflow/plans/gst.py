@@ -381,12 +381,43 @@ def val_24(spark, sf):
         "source_ref", F.lit("DUPLICATE_INVOICE_NUMBER").alias("code"), "key")
 
 
-@query("val_25", with_("dup_document", "SELECT source_ref, code, key FROM dup_document"))
+_COPIES = """SELECT * FROM numbered UNION ALL
+SELECT * REPLACE (ord + 1000000000 AS ord, source_ref || 'b' AS source_ref, number || '-B' AS number) FROM numbered WHERE ord % 97 < 3"""
+cte("copied", ("numbered",), _COPIES)
+cte("alike", ("copied",), """
+SELECT ord, source_ref, 'POSSIBLE_DUPLICATE_DOCUMENT' AS code, grp, number, invoice_date, doc_value,
+ grp || '|' || pname || '|' || CAST(invoice_date AS VARCHAR) || '|' || CAST(doc_value AS VARCHAR) AS key
+FROM copied JOIN (SELECT grp, pname, invoice_date, doc_value FROM copied WHERE doc_value IS NOT NULL AND invoice_date IS NOT NULL
+ GROUP BY ALL HAVING count(DISTINCT number) > 1) USING (grp, pname, invoice_date, doc_value)""")
+
+
+def copied_feats(spark, sf):
+    """The sample books, and some of their rows again under another number."""
+    f = feats(spark, sf)
+    again = f.filter("ord % 97 < 3 AND invoice_number <> ''").withColumns({
+        "ord": F.col("ord") + 1_000_000_000, "source_ref": F.concat("source_ref", F.lit("b")), "invoice_number": F.concat(F.upper(F.trim("invoice_number")), F.lit("-B"))})
+    return f.unionByName(again)
+
+
+@query("val_25", with_("alike", "SELECT source_ref, code, key FROM alike"))
 def val_25(spark, sf):
-    return V.duplicate_findings(feats(spark, sf)).filter("finding_id = 26").select(
+    """Lookalikes in books where some documents come again under another number."""
+    return V.duplicate_findings(copied_feats(spark, sf)).filter("finding_id = 26").select(
         "source_ref", F.lit("POSSIBLE_DUPLICATE_DOCUMENT").alias("code"), "key")
 
 
+@query("val_30_samples", with_("copied alike", """
+, g AS (SELECT 25 AS finding_id, grp || '|' || number AS key, party AS within, min(ord) AS first_ord, least(count(*), 10) AS copies,
+  grp || ';' || number || ';' || array_to_string(list_slice(list(source_ref ORDER BY ord, source_ref), 1, 10), ',') AS evidence FROM copied GROUP BY grp, number, party HAVING count(*) > 1
+ UNION ALL SELECT 26, key, '', min(ord), least(count(*), 10), grp || ';' || CAST(invoice_date AS VARCHAR) || ';' || CAST(doc_value AS VARCHAR) || ';'
+  || array_to_string(list_slice(list(source_ref ORDER BY ord, source_ref), 1, 10), ',') FROM alike GROUP BY key, grp, invoice_date, doc_value)
+SELECT finding_id, key, array_to_string(list_slice(flatten(list(list_transform(range(copies), lambda i: evidence) ORDER BY first_ord, within)), 1, 10), ' / ') AS samples
+FROM g GROUP BY finding_id, key""").replace("\n\n, g", ", g"))
+def val_30_samples(spark, sf):
+    """First evidence of both duplicate families."""
+    return V.duplicate_samples(copied_feats(spark, sf)).select("finding_id", "key", F.array_join("samples", " / ").alias("samples"))
+
+
 @query("val_26", with_("features", """
 SELECT 'ITC_NOT_RECONCILED_EXTERNALLY' AS code, 'INFO' AS severity WHERE EXISTS
  (SELECT 1 FROM features WHERE category IN ('Purchase', 'Import', 'Expense') AND tax > 0)"""))
