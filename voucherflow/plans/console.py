@@ -326,11 +326,18 @@ def set_05(spark, sf):
 
 
 # ---------------------------------------------------------------- console figures
-@query("dsh_01", with_("console", f"""
+@query("dsh_01", with_("console all_disc per_row verdict_in", f"""
 SELECT count(*) AS total, count_if(CAST(created_at AS DATE) = DATE '2024-01-15') AS today, count_if({_REVIEW}) AS pending_review,
- round(avg(score), 9) AS mean_score, count(DISTINCT file_name) AS files FROM console"""))
+ round(avg(score), 9) AS mean_score, count(DISTINCT file_name) AS files,
+ (SELECT count_if(severity IN ('HIGH', 'MEDIUM')) FROM all_disc) AS finding_groups, (SELECT count(*) FROM per_row WHERE worst < 3) AS rows_with_findings,
+ (SELECT {gst.READINESS_SQL} FROM verdict_in) AS readiness FROM console"""))
 def dsh_01(spark, sf):
-    return K.key_figures(console_rows(spark, sf), "2024-01-15").withColumn("mean_score", F.round("mean_score", 9))
+    """The console's row of eight figures: its own in one pass, and those of the analysed books."""
+    f, groups, calcs = gst.analysed(spark, sf)
+    blocking, touched = K.finding_figures(groups, gst.V.row_findings(gst.V.findings(f, gst.RULES), gst.RULES))
+    ready = gst.FI.verdict(f, groups, calcs).select("readiness")
+    out = K.key_figures(console_rows(spark, sf), "2024-01-15").withColumn("mean_score", F.round("mean_score", 9))
+    return out.join(F.broadcast(blocking)).join(F.broadcast(touched)).join(F.broadcast(ready))      # one row each
 
 
 @query("dsh_02", with_("console", """

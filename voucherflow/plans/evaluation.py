@@ -227,6 +227,25 @@ def ml_22(spark, sf):
     return errors.groupBy("model", "actual", "predicted").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 9).alias("mean_score"))
 
 
+@query("ml_22_rows", with_("scored_rank predictions", """
+SELECT ord, actual, predicted, score, alternatives FROM (SELECT ord, max(label) FILTER (rn = 1) AS predicted, round(max(score) FILTER (rn = 1), 9) AS score,
+  string_agg(label || ' (' || CAST(CAST(round(score, 3) AS DECIMAL(6,3)) AS VARCHAR) || ')', ' | ' ORDER BY rn) AS alternatives FROM scored_rank WHERE rn <= 3 GROUP BY ord)
+JOIN (SELECT ord, actual FROM predictions) USING (ord) WHERE actual <> predicted"""))
+def ml_22_rows(spark, sf):
+    """The wrong rows with their score and the three best labels."""
+    top = CL.top_scores(CL.scored_rows(spark, sf)).join(CN.predictions(spark, sf).select("ord", "actual"), "ord")
+    text = F.transform("top_predictions", lambda x: F.concat(x["label"], F.lit(" ("), F.round(x["score"], 3).cast("decimal(6,3)").cast("string"), F.lit(")")))
+    rows = top.select("ord", "actual", F.col("top_predictions")[0]["label"].alias("predicted"), F.round(F.col("top_predictions")[0]["score"], 9).alias("score"), F.array_join(text, " | ").alias("alternatives"))
+    return rows.filter("actual <> predicted")
+
+
+@query("qa_14_unknown", with_("modelled", f"SELECT category FROM (SELECT unnest({sql_list(sorted(set(R.CATEGORY.values())))}) AS category) WHERE category NOT IN (SELECT DISTINCT model_prediction FROM modelled WHERE model_prediction IS NOT NULL)"))
+def qa_14_unknown(spark, sf):
+    """Categories that a rule can give and the model never does."""
+    known = CL._with_model(wide_vouchers(spark, sf)).select(F.col("model_prediction").alias("category")).distinct()
+    return fixed_table(spark, "category", [(c,) for c in sorted(set(R.CATEGORY.values()))]).join(known, "category", "left_anti")
+
+
 @query("ml_26", with_("classes", "SELECT model, metric, CASE WHEN metric = 'accuracy' THEN 'PASS' ELSE 'FAIL' END AS status FROM (SELECT DISTINCT model FROM classes), (SELECT unnest(['accuracy', 'macro_f1']) AS metric)"))
 def ml_26(spark, sf):
     """Recomputed metrics against a reported table with one figure per model off by 1e-6."""

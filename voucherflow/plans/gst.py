@@ -547,9 +547,11 @@ def val_32(spark, sf):
         "report_status", "usable_rows", "blocking", F.size("open_calculations").cast("bigint").alias("open_n"))
 
 
-@query("val_33", with_("verdict_in", f"""
-SELECT CASE WHEN usable_rows = 0 OR high <> '' THEN 'NOT_READY' WHEN {_STATUS_SQL} = 'REVIEW_REQUIRED' THEN 'REVIEW_REQUIRED'
- ELSE 'PREPARED_FOR_PROFESSIONAL_REVIEW' END AS readiness, high AS confirmed_high FROM verdict_in"""))
+READINESS_SQL = (f"CASE WHEN usable_rows = 0 OR high <> '' THEN 'NOT_READY' WHEN {_STATUS_SQL} = 'REVIEW_REQUIRED' THEN 'REVIEW_REQUIRED' "
+                 "ELSE 'PREPARED_FOR_PROFESSIONAL_REVIEW' END")
+
+
+@query("val_33", with_("verdict_in", f"SELECT {READINESS_SQL} AS readiness, high AS confirmed_high FROM verdict_in"))
 def val_33(spark, sf):
     return FI.verdict(*analysed(spark, sf)).select("readiness", F.array_join("confirmed_high", ",").alias("confirmed_high"))
 
