@@ -136,3 +136,33 @@ def test_graph_of_a_long_chain_and_a_hub(spark):
     roots = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert roots == {**{i: 0 for i in range(1, 61)}, **{1000 + i: 1000 for i in range(1, 80)}}
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 40), max_size=12), min_size=1, max_size=40), st.integers(1, 40), st.integers(2, 5))
+def test_shared_members(sets, first, few):
+    first = min(first, len(sets))
+    arrays = [np.array(sorted(x), np.uint64) for x in sets]
+    rest = sets if first == len(sets) else sets[first:]
+    before, S.FEW = S.FEW, few
+    try:
+        got = S.shared_members(arrays, first)
+    finally:
+        S.FEW = before
+    off = ~np.eye(len(sets), dtype=bool) if first == len(sets) else np.ones((first, len(rest)), bool)
+    assert (got == np.array([[len(a & b) for b in rest] for a in sets[:first]]).reshape(got.shape))[off].all()
+
+
+def test_groups_over_several_tiles(spark, monkeypatch):
+    """A group whose members are near the first only, cut into tiles of five by five, and groups of two, that go together."""
+    monkeypatch.setattr(S, "GROUP_TILE", 5)
+    monkeypatch.setattr(S.near_edges, "__defaults__", (5,))
+    rng = random.Random(6)
+    base = [f"w{n}" for n in range(304)]
+    rows = [(0, " ".join(base))]
+    for n in range(1, 30):      # each lacks another run of 40 words, so two of them are under 0.8 and each is over 0.8 with the base
+        at = rng.randrange(0, 264)
+        rows.append((n, " ".join(base[:at] + base[at + 40:])))
+    rows += [(100 + 2 * k + side, t) for k in range(20) for side, t in enumerate(pair_of(rng, 80, 10, 10))]
+    assert {r["doc_id"] for r in S.near_unique(docs(spark, rows)).collect()} == {0, *range(100, 140, 2)}
+    assert S.near_plan(50_000) == (4, 6) and S.near_plan(15_000_000)[0] > 4

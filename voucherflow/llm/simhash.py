@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import math
 from array import array
-from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -152,10 +151,10 @@ def bit_blocks(blocks: int) -> list[int]:
 
 # ---- links -----------------------------------------------------------------
 
-def spanning(home: np.ndarray, visit: np.ndarray, radius: int, exact: Callable[[int, int], bool] | None = None, rows: int = 256) -> tuple[np.ndarray, np.ndarray]:
+def spanning(home: np.ndarray, visit: np.ndarray, radius: int, rows: int = 256) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest, as (member, smallest member), of the links between two sets.
 
-    A member is a row (id, fingerprint, further fingerprints); a link needs at most `radius` differing bits over all of them, and `exact` of the two ids if given."""
+    A member is a row (id, fingerprint, further fingerprints); a link needs at most `radius` differing bits over all of them."""
     every = np.unique(np.r_[home[:, 0], visit[:, 0]])
     label = np.arange(len(every))
     hi, vi = np.searchsorted(every, home[:, 0]), np.searchsorted(every, visit[:, 0])
@@ -166,10 +165,7 @@ def spanning(home: np.ndarray, visit: np.ndarray, radius: int, exact: Callable[[
         if home.shape[1] > 3:
             near = np.bitwise_count(home[at + i, 1:] ^ visit[j, 1:]).sum(axis=1, dtype=np.int64) <= radius
             i, j = i[near], j[near]
-        if exact is None:
-            _hook(label, hi[at + i], vi[j])
-        else:
-            _hook_exact(label, hi[at + i], vi[j], lambda x, y: exact(int(every[x]), int(every[y])))
+        _hook(label, hi[at + i], vi[j])
     moved = np.flatnonzero(label != np.arange(len(every)))
     return every[moved], every[label[moved]]
 
@@ -191,24 +187,7 @@ def _hook(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = up
 
 
-def _hook_exact(label: np.ndarray, a: np.ndarray, b: np.ndarray, exact: Callable[[int, int], bool]) -> None:
-    """Merge the labels of those pairs that are linked exactly. Each turn tries one pair for every label on either side, so a group is linked in few turns."""
-    while True:
-        x, y = label[a], label[b]
-        open_ = np.flatnonzero(x != y)
-        if not len(open_):
-            return
-        a, b, x, y = a[open_], b[open_], x[open_], y[open_]
-        pick = np.union1d(np.unique(x, return_index=True)[1], np.unique(y, return_index=True)[1])
-        good = [n for n in pick.tolist() if exact(a[n], b[n])]
-        _hook(label, a[good], b[good])
-        left = np.ones(len(a), bool)
-        left[pick] = False
-        a, b = a[left], b[left]
-
-
-def links(nodes: DataFrame, total: int, radius: int, blocks: int, reach: int, sample: int = SAMPLE, leaf: int = LEAF, tile: int = TILE,
-          exact: Callable[[int, int], bool] | None = None) -> DataFrame:
+def links(nodes: DataFrame, total: int, radius: int, blocks: int, reach: int, sample: int = SAMPLE, leaf: int = LEAF, tile: int = TILE) -> DataFrame:
     """Edges (a, b) between ids that connect linked `nodes` (id, fp and perhaps w1, w2, ...), as spanning forests of tiles.
 
     There is a tree for each of `blocks` blocks of bits of each fingerprint; pairs that agree to `reach` bits in one block at least meet."""
@@ -248,7 +227,7 @@ def links(nodes: DataFrame, total: int, radius: int, blocks: int, reach: int, sa
     def join(group):
         home, visit = ([_unpacked(x, len(columns)) for x in group.column(c).to_pylist() if x is not None] for c in ("home", "visit"))
         home = np.concatenate(home)
-        a, b = spanning(home, np.concatenate(visit) if visit else home, radius, exact)
+        a, b = spanning(home, np.concatenate(visit) if visit else home, radius)
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     packed = nodes.select(columns).mapInArrow(route, "shard long, home binary, visit binary")
@@ -297,6 +276,8 @@ def components(docs: DataFrame, words: int = 4, radius: int = 4, blocks: int = 3
 
 # Two sets of shingles with i members in common are near copies if i / (a + b - i) >= 0.8, that is 9 i >= 4 (a + b).
 NEAR_RADIUS = 72        # of 256 bits; pairs of similarity 0.8 differ in 31 to 48 at the mean, with a deviation of 6
+GROUP_TILE = 4_096      # sets of a group compared with as many others in one task
+FEW = 16                # a shingle that so many sets of a tile hold is counted by pairs, a more frequent one by a product
 NEAR_MISS = 0.02        # share of pairs of similarity 0.8 that may agree in no block at all
 NEAR_DIFFER = 0.15      # share of bits in which such pairs differ
 SET_BYTES = 64 << 20    # of one file of shingle sets
@@ -350,12 +331,45 @@ class SetStore:
         at = int(np.searchsorted(nodes, np.uint64(node)))
         return members[int(ends[at - 1]) if at else 0:int(ends[at])]
 
-    def near(self, a: int, b: int) -> bool:
-        """Whether the sets of two nodes have an exact similarity of 0.8 or more."""
-        x, y = self[a], self[b]
-        if 5 * min(len(x), len(y)) < 4 * max(len(x), len(y)):
-            return False
-        return 9 * len(np.intersect1d(x, y, assume_unique=True)) >= 4 * (len(x) + len(y))
+
+def shared_members(sets: list[np.ndarray], first: int) -> np.ndarray:
+    """(first, rest): how many members each of the first sets shares with each of the others; all with all if `first` is their number."""
+    n = len(sets)
+    low = 0 if first == n else first
+    out = np.zeros((first, n - low), np.float32)
+    row = np.repeat(np.arange(n), [len(x) for x in sets])
+    code = np.unique(np.concatenate(sets), return_inverse=True)[1] if len(row) else np.empty(0, np.int64)
+    count = np.bincount(code)
+    often = count[code] > FEW
+    order = np.argsort(code[~often], kind="stable")
+    c, r = code[~often][order], row[~often][order]
+    for lag in range(1, FEW):       # sets that hold the same rare shingle stand within so many places
+        same = c[lag:] == c[:-lag]
+        if not same.any():
+            break
+        a, b = r[:-lag][same], r[lag:][same]
+        for x, y in ((a, b), (b, a)):
+            on = (x < first) & (y >= low)
+            np.add.at(out, (x[on], y[on] - low), 1)
+    place = np.cumsum(count > FEW) - 1
+    column, r = place[code[often]], row[often]
+    for at in range(0, int(place[-1]) + 1 if len(place) else 0, 2_048):
+        on = (column >= at) & (column < at + 2_048)
+        dense = np.zeros((n, 2_048), np.float32)
+        dense[r[on], column[on] - at] = 1
+        out += dense[:first] @ dense[low:].T
+    return out
+
+
+def near_forest(nodes: np.ndarray, sets: list[np.ndarray], first: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the exact links of the first nodes with the others, or of all."""
+    size, label = np.array([len(x) for x in sets], np.int64), np.arange(len(sets))
+    low, shared = 0 if first == len(sets) else first, shared_members(sets, first)
+    for at in range(0, first, 256):
+        i, j = np.nonzero(9 * shared[at:at + 256] >= 4 * (size[at:min(first, at + 256), None] + size[None, low:]))
+        _hook(label, i + at, j + low)
+    moved = np.flatnonzero(label != np.arange(len(sets)))
+    return nodes[moved], nodes[label[moved]]
 
 
 def store_sets(docs: DataFrame, keys: DataFrame, words: int, folder: str) -> SetStore:
@@ -386,16 +400,35 @@ def store_sets(docs: DataFrame, keys: DataFrame, words: int, folder: str) -> Set
     return SetStore(folder, buckets)
 
 
-def near_edges(docs: DataFrame, nodes: DataFrame, total: int, words: int, blocks: int, folder: str) -> DataFrame:
+def near_edges(docs: DataFrame, nodes: DataFrame, total: int, words: int, blocks: int, folder: str, tile: int = GROUP_TILE) -> DataFrame:
     """Edges (a, b) of exact similarity 0.8 or more that connect the near copies among `nodes` (id, key, fp, w1, ...).
 
-    The trees are searched twice: over all fingerprints, which leaves the few nodes with another in reach, and over those with the exact similarity of
-    their sets in place of the distance, once for each pair that its tile has not connected yet."""
+    The search of the trees joins the few nodes that have another in reach to groups. Within a group all pairs of sets are compared, in tiles of `tile` by `tile`
+    sets, by the members that they share; small groups go together into one task."""
     prints = nodes.drop("key")
-    maybe = written(links(prints, total, NEAR_RADIUS, blocks, 0), f"{folder}/maybe")
-    wanted = written(nodes.join(maybe.select(F.col("a").alias("id")).union(maybe.select("b")).distinct(), "id"), f"{folder}/close")
-    sets = store_sets(docs, wanted.select("key"), words, f"{folder}/sets")
-    return links(wanted.drop("key"), wanted.count(), NEAR_RADIUS, blocks, 0, exact=sets.near)
+    maybe = written(links(prints, total, NEAR_RADIUS * (len(prints.columns) - 1) // 4, blocks, 0), f"{folder}/maybe")
+    roots = graph.components(maybe)
+    members = written(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), f"{folder}/groups")
+    sets = store_sets(docs, nodes.join(members.select(F.col("node").alias("id")), "id", "left_semi").select("key"), words, f"{folder}/sets")
+    sizes = members.groupBy("root").agg(F.ceil(F.count("*") / tile).cast("int").alias("cuts"))
+    few = pieces(members.count(), tile)
+    own = F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int")
+    each = members.join(sizes, "root").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    each = each.select("root", "node", "own", F.when(F.col("cuts") > 1, F.col("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(few))).alias("task"),
+                       (F.col("cuts") > 1).alias("large"), F.least("own", "other").alias("r"), F.greatest("own", "other").alias("c"))
+
+    def compare(group):
+        root, node, own = (np.asarray(group.column(x).combine_chunks()) for x in ("root", "node", "own"))
+        r, out = group.column("r")[0].as_py(), []
+        order = np.lexsort((node, own != r, root))
+        root, node, own = root[order], node[order], own[order]
+        cut = np.flatnonzero(np.r_[True, root[1:] != root[:-1]])
+        for a, b in zip(cut, np.r_[cut[1:], len(root)], strict=True):
+            ids = node[a:b]
+            found = [sets[int(x)] for x in ids.view(np.uint64)]
+            out.append(near_forest(ids, found, int((own[a:b] == r).sum())))
+        return pa.table({"a": np.concatenate([x for x, _ in out]), "b": np.concatenate([y for _, y in out])})
+    return each.groupBy("large", "task", "r", "c").applyInArrow(compare, "a long, b long")
 
 
 def near_unique(docs: DataFrame, words: int = 5) -> DataFrame:
@@ -428,7 +461,7 @@ def near_unique(docs: DataFrame, words: int = 5) -> DataFrame:
             for batch in batches:
                 yield batch.filter(pa.array(keys.has(np.asarray(batch.column("key")).view(np.uint64)) == inside))
         return whole.mapInArrow(run, whole.schema)
-    for name in ("prints", "nodes", "maybe", "close", "sets", "placed", "least", "marks"):
+    for name in ("prints", "nodes", "maybe", "groups", "sets", "placed", "least", "marks"):
         remove_folder(spark, f"{folder}/{name}")
     return chosen(marked, False).select("row.*").unionByName(chosen(several, True).dropDuplicates(["key"]).select("row.*"))
 
