@@ -118,9 +118,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     last = None
     while True:
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # Minima are written before their join, so that it has a shuffle on either side and adaptive execution can split a hub's rows.
+        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")).checkpoint()
         large = both.filter("b > a").join(low, "a").select(F.col("m").alias("a"), "b").filter("a <> b").distinct()
-        mins = large.groupBy("b").agg(F.min("a").alias("m"))
+        large = large.checkpoint()
+        mins = large.groupBy("b").agg(F.min("a").alias("m")).checkpoint()
         small = large.join(mins, "b").select(F.explode(F.array(
             F.struct(F.col("m").alias("a"), F.col("b").alias("b")), F.struct(F.col("m").alias("a"), F.col("a").alias("b")))).alias("e")) \
             .select("e.*").filter("a <> b").distinct()

@@ -56,6 +56,34 @@ def newest(df: DataFrame, n: int, offset: int = 0) -> DataFrame:
     return (page.offset(offset) if offset else page).limit(n)
 
 
+def retained(df: DataFrame, kept: int = KEPT_ROWS) -> DataFrame:
+    """The newest rows that the store keeps; each task passes on as many at most."""
+    return newest(df, kept)
+
+
+def sorted_store(df: DataFrame, uri: str) -> DataFrame:
+    """The rows written in ranges of their order, newest first, so that a page reads only the files that its key range meets."""
+    order = [F.col("created_at").desc(), F.col("id")]
+    df.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(uri)
+    return df.sparkSession.read.parquet(uri)
+
+
+def page_after(df: DataFrame, n: int, last: tuple | None = None) -> DataFrame:
+    """The next `n` rows, most recent first, after the key (created_at, id) that the page before ended with; the first page without one.
+
+    No row of an earlier page is counted or sorted: over a sorted store the filter skips their files, however deep the page."""
+    if last is not None:
+        at, id_ = F.lit(last[0]), F.lit(last[1])
+        df = df.filter((F.col("created_at") <= at) & ((F.col("created_at") < at) | (F.col("id") > id_)))
+    return newest(df, n)
+
+
+def last_key(page: DataFrame) -> tuple | None:
+    """The key that a page ends with: one row."""
+    row = page.orderBy("created_at", F.col("id").desc()).select("created_at", "id").first()
+    return (row["created_at"], row["id"]) if row else None
+
+
 def per_day(df: DataFrame, last_day: str, days: int = 7) -> DataFrame:
     """Rows per day with zero fill, ending on `last_day`."""
     end = F.lit(last_day).cast("date")

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from voucherflow import schema
 from voucherflow.operators import correction as C
+from voucherflow.operators import normalize as N
 from voucherflow.operators import rules as R
 from voucherflow.plans.ctes import category_sql, cte, lit, lits, sql_list, with_
 from voucherflow.plans.registry import query
+from voucherflow.session import ensure_checkpoint_dir
+from voucherflow.sources import readers
 from voucherflow.sources import tables as T
 from voucherflow.sources.wide import WIDE_COLUMNS, wide_sql, wide_vouchers
 
@@ -103,6 +108,17 @@ def cls_04(spark, sf):
     return decided(spark, sf).select("source_ref", "rule_status", "rule_candidates", "rule_category")
 
 
+@query("src_05", with_("decided", "SELECT ord AS voucher_key, rule_status, CASE WHEN rule_status = 'RULE_MATCH' THEN rule_candidates END AS rule_category FROM decided"))
+def src_05(spark, sf):
+    """Batch scoring of a table that is read from CSV files: the vouchers written out, read back as sheets and decided."""
+    wide = wide_vouchers(spark, sf)
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/batch-{uuid.uuid4().hex}"
+    cells = [F.col(f"`{c}`").cast("string").alias(c) for c in wide.columns if c not in N.PROVENANCE]
+    wide.select(F.col("ord").cast("string").alias("Voucher Key"), *cells).write.option("header", True).option("escape", '"').option("quoteAll", True).csv(folder)
+    read = readers.read_sheets(spark, [(folder, "csv")])
+    return R.decide(R.with_evidence(read)).select(F.col("`Voucher Key`").cast("bigint").alias("voucher_key"), "rule_status", "rule_category")
+
+
 def _with_model(df):
     """A stand-in model: the category of the row's own slot, shifted on some rows, with a score."""
     return df.withColumns({

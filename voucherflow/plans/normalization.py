@@ -497,11 +497,6 @@ def src_04(spark, sf):
     return labels.select("source_ref", "label", F.lit("yes" if schema.LABEL_COLUMN in features.columns else "no").alias("label_in_features"))
 
 
-@query("src_05", "SELECT count(*) AS n_rows, count(DISTINCT o_custkey) AS customers FROM orders")
-def src_05(spark, sf):
-    return T.table(spark, sf, "orders").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("o_custkey").alias("customers"))
-
-
 @query("src_06", with_("training", """
 SELECT (SELECT count(*) FROM training) AS n_rows, 0 AS only_in_inputs, 0 AS only_in_labelled, 0 AS leaked_columns"""))
 def src_06(spark, sf):
