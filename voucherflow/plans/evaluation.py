@@ -216,6 +216,23 @@ def ml_19(spark, sf):
     return _rounded(M.overall(pairs), *_METRICS).join(moved, "model").select("model", "n_samples", "correct", *_METRICS, "corrections")
 
 
+cte("arms", ("modelled", "evidence"), f"""
+SELECT label AS actual, 'model_alone' AS model, model_prediction AS predicted FROM modelled
+UNION ALL SELECT label, 'first_match_rules', coalesce(first, model_prediction) FROM (SELECT *, {CL._first_sql('all')} AS first FROM modelled)
+UNION ALL SELECT label, 'evidence_rules', prediction FROM modelled""")
+cte("arm_classes", ("arms",), _CLASS.format(by="model", src="arms"))
+
+
+@query("ml_19_arms", with_("arm_classes", "SELECT model, n_samples, correct, accuracy, macro_f1_union, macro_f1_present, weighted_f1 FROM (" + _OVERALL.format(by="model", src="arm_classes") + ")"))
+def ml_19_arms(spark, sf):
+    """The model alone, under the first-match rules and under the evidence rules, on the same rows."""
+    rows = R.with_model_fallback(R.first_match(CL._with_model(CL.decided(spark, sf)), "first"))
+    arms = F.array(*[F.struct(F.lit(n).alias("model"), c.alias("predicted")) for n, c in (
+        ("model_alone", F.col("model_prediction")), ("first_match_rules", F.coalesce("first", "model_prediction")), ("evidence_rules", F.col("prediction")))])
+    tall = rows.select(F.col(f"`{schema.LABEL_COLUMN}`").alias("actual"), F.explode(arms).alias("e")).select("actual", "e.*")
+    return _rounded(M.overall(M.pair_counts(tall)), *_METRICS).select("model", "n_samples", "correct", *_METRICS)
+
+
 @query("ml_20", with_("classes", "SELECT model, count_if(support > 0) AS n_classes, count_if(support > 0 AND recall >= 0.8::DOUBLE) AS classes_recall_ge_0_8, count_if(support > 0 AND recall = 0) AS classes_recall_eq_0 FROM classes GROUP BY 1"))
 def ml_20(spark, sf):
     return M.overall(M.pair_counts(long_predictions(spark, sf))).select("model", F.col("classes_in_truth").alias("n_classes"), "classes_recall_ge_0_8", "classes_recall_eq_0")
