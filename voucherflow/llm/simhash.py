@@ -36,6 +36,7 @@ SAMPLE = 1 << 16        # fingerprints that shape the trees
 LEAF = 2_000            # members a shard should have
 TILE = 16_384           # members of a shard compared in one task
 CHUNK = 1 << 16         # shingle hashes counted at once
+PAIRS = 1 << 19
 
 
 # ---- fingerprints ----------------------------------------------------------
@@ -159,9 +160,12 @@ def spanning(home: np.ndarray, visit: np.ndarray, radius: int, rows: int = 256)
     label = np.arange(len(every))
     hi, vi = np.searchsorted(every, home[:, 0]), np.searchsorted(every, visit[:, 0])
     head = [np.ascontiguousarray(visit[:, k]) for k in range(1, min(3, visit.shape[1]))]
+    rows = max(16, min(rows, PAIRS // max(1, len(visit))))      # pairs in reach that a task holds at once
     for at in range(0, len(home), rows):
         d = sum(np.bitwise_count(home[at:at + rows, k, None] ^ v[None, :]) for k, v in enumerate(head, 1))
         i, j = np.nonzero(d <= radius)      # two words tell chance pairs apart; the others only add to the distance
+        apart = label[hi[at + i]] != label[vi[j]]       # a group that is connected already takes no more work
+        i, j = i[apart], j[apart]
         if home.shape[1] > 3:
             near = np.bitwise_count(home[at + i, 1:] ^ visit[j, 1:]).sum(axis=1, dtype=np.int64) <= radius
             i, j = i[near], j[near]
