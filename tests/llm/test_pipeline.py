@@ -1,5 +1,6 @@
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 
 from voucherflow.llm import queries
 
@@ -39,3 +40,14 @@ def test_awkward_documents(spark, folder, stage):
 
 def test_every_operator_has_its_query():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
+
+
+@pytest.mark.parametrize("stage", [s for _, s in corpus_pipeline.STAGES[:-1]])
+def test_columns_with_the_stages_own_names_come_back_unchanged(spark, folder, stage):
+    from tests.llm.helpers import awkward
+    names = ("near_own", "near_n", "near_id", "leaked_id", "mix_tokens", "mix_domain", "mix_epochs", "key", "row", "node", "stays", "tokens")
+    table = awkward(spark).withColumns({n: F.lit(7) for n in names})
+    got = stage(spark, table, folder)
+    assert got.columns == table.columns
+    rows = got.collect()
+    assert rows and all(r[n] == 7 for r in rows for n in names) and all(r["score"] == "x" and list(r["size"]) == [1] for r in rows)
